@@ -11,10 +11,31 @@ from tessera.llm.decontaminate import find_leaks, hit_words
 from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.mixing import mix_sources
 from tessera.llm.shared import table
+from tessera.llm.url_filter import Rule, judge
+from tessera.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The rules of the page filter.
+URL_RULES = [
+    Rule("com/", "allow"),
+    Rule("example.com/en/", "block"),
+    Rule("www.example.com/en/", "allow"),
+    Rule("net/es/", "block"),
+    Rule("net/fr/", "block"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -37,12 +58,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_url_filters": op2_url_filters,
+    "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM g
+    """,
     "op4_benchmark_decontamination": r"""
         WITH words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stash
+from tessera.llm.shared import ship, shipped, stash
 
 #: Text bytes of benchmark items that one broadcast table is made from.
 BLOCK_BYTES = 2 << 20
@@ -105,10 +105,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, prefix: st
     out = docs.select("*", F.lit(0).alias(names[0]), F.lit(None).cast("array<struct<first:int,last:int>>").alias(names[1]), F.lit(None).cast("array<string>").alias(names[2]))
     for block in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        tables = spark.sparkContext.broadcast(searchers([(r.item, bytes(r.text) if r.text is not None else None) for r in part.toLocalIterator()], size))
+        tables = ship(spark, searchers([(r.item, bytes(r.text) if r.text is not None else None) for r in part.toLocalIterator()], size))
 
         def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            search = tables.value
+            search = shipped(tables)
             for b in batches:
                 n_words, spans, items = [], [], []
                 texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import find_leaks, hit_words
 from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.mixing import mix_sources
-from tessera.llm.shared import table
+from tessera.llm.shared import id_fold, table
+from tessera.llm.toxicity import learn, score_texts
 from tessera.llm.url_filter import Rule, judge
 from tessera.llm.warc import round_trip
 
@@ -57,12 +58,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2).select("doc_id", "toxic")
+    scored = score_texts(docs, learn(docs, labels))
+    predicted = F.when(F.col("score") >= 0.3, F.lit(1)).otherwise(F.lit(0))
+    return scored.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "hits")
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

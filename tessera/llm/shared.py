@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts a bounded value; classes of this package travel with it, so workers need no copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(held: Broadcast) -> object:
+    """What ship() sent; call it once in a task."""
+    return pickle.loads(held.value)
+
+
 def release(spark: SparkSession) -> None:
     """Drop this application's scratch tables; results that read them must have been written before."""
     jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import ship, shipped
+
 #: Labelled URLs that the trees are fitted on, at most: those with the smallest hashes.
 SAMPLE_ROWS = 20_000
 #: Suffix statistics are kept by this many hash buckets, whatever the number of suffixes.
@@ -195,12 +197,13 @@ def judge(urls: DataFrame, rules: list[Rule], threshold: float = 0.5, sample_row
     for rule in rules:
         verdicts = F.when(F.col("rule") == rule.text, F.lit(rule.verdict)).otherwise(verdicts)
     labelled = parts.where("rule IS NOT NULL").select("url", "host", "path", (verdicts == "block").alias("blocked"))
-    model = urls.sparkSession.sparkContext.broadcast(fit(labelled, sample_rows))
+    model = ship(urls.sparkSession, fit(labelled, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped(model)
         for b in batches:
             u, h, p = (b.column(k).to_pylist() for k in (1, 2, 3))
-            score = model.value.score(model.value.features(u, h, p)) if u else np.zeros(0)
+            score = m.score(m.features(u, h, p)) if u else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3, 4)), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "score"])
 
     scored = parts.mapInArrow(run, "page_id long, host string, path string, rule string, score double")

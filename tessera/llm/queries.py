@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import find_leaks, hit_words
 from tessera.llm.exact_dedup import dedup_exact
+from tessera.llm.hidden_markov import score_documents
 from tessera.llm.mixing import mix_sources
 from tessera.llm.shared import id_fold, table
 from tessera.llm.toxicity import learn, score_texts
@@ -18,6 +19,10 @@ from tessera.llm.warc import round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), id_fold("doc_id", 5) == 1)
+
+
 #: The rules of the page filter.
 URL_RULES = [
     Rule("com/", "allow"),
@@ -67,6 +72,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,

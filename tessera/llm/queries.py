@@ -12,6 +12,7 @@ from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.hidden_markov import score_documents
 from tessera.llm.mixing import mix_sources
 from tessera.llm.shared import id_fold, table
+from tessera.llm.simhash import hex_print, near_duplicates
 from tessera.llm.toxicity import learn, score_texts
 from tessera.llm.url_filter import Rule, judge
 from tessera.llm.warc import round_trip
@@ -71,6 +72,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "hits")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_print().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_url_filters": op2_url_filters,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op7_mixing_sources": op7_mixing_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

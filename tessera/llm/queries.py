@@ -11,6 +11,7 @@ from tessera.llm.decontaminate import find_leaks, hit_words
 from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.hidden_markov import score_documents
 from tessera.llm.mixing import mix_sources
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.shared import id_fold, table
 from tessera.llm.simhash import hex_print, near_duplicates
 from tessera.llm.toxicity import learn, score_texts
@@ -56,6 +57,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import find_leaks, hit_words
 from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.hidden_markov import score_documents
+from tessera.llm.line_dedup import text_classes
 from tessera.llm.mixing import mix_sources
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.shared import id_fold, table
@@ -63,6 +64,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cols = ["doc_id", "n_lines", "n_removed", "n_links", "removed", "class_ids"]
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*cols)
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -90,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,

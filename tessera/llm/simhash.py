@@ -6,8 +6,8 @@ in each shard finds the links.  A shard with too many fingerprints is dealt
 again by blocks of its remaining bits, until so few bits are free that their
 number bounds it.  Shard trees are built where their shard is, as the
 fingerprints of all documents have no bound that a broadcast would need.  A
-shard reports links from each fingerprint to its group's least one, never all
-pairs, and connected components join the groups.
+shard reports a spanning forest of its links, never all pairs, and connected
+components join the groups.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ class BkTree:
 
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, least value of its group) for the linked values of one shard; values are distinct."""
+    """Pairs within radius that join the linked values of one shard, each pair joining two groups; values are distinct."""
     values = sorted(values)
     tree, parent = BkTree(), list(range(len(values)))
 
@@ -92,12 +92,15 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             k = parent[k]
         return k
 
+    out = []
     for k, value in enumerate(values):
         for other in tree.within(value, radius):
             a, b = root(k), root(other)
-            parent[max(a, b)] = min(a, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((value, values[other]))
         tree.add(value)
-    return [(v, values[r]) for k, v in enumerate(values) if (r := root(k)) != k]
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -156,3 +156,45 @@ def first_existing(candidates: DataFrame, files: DataFrame, key: str = "id") ->
 def rank_in(rows: DataFrame, *order: Column) -> DataFrame:
     """Adds rank 1.. over a bounded page."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def asset_details(items: DataFrame, files: DataFrame, library: str, kind: str) -> DataFrame:
+    """One detail row for each asset of that kind (video or image) whose file exists.
+
+    items: id, name, ext, file_name, tags, folders, website, note, any null;
+    files (path): absolute paths.  A video's file is sought as name.ext,
+    file_name, id.ext, an image's with file_name first, and then as the first
+    medium of that kind in the asset's directory.  A missing extension comes
+    from file_name or the file found.
+    """
+    extensions = O.VIDEO_EXTENSIONS if kind == "video" else O.IMAGE_EXTENSIONS
+    ident = F.col("id").cast("string")
+    stated = S.first_of(F.regexp_replace(F.lower(F.coalesce("ext", F.lit(""))), r"^\.+", ""), S.extension(F.col("file_name")))
+    rows = items.withColumn("ext", stated).where(F.col("ext").isNull() | F.col("ext").isin(*extensions))
+    folder = F.concat(F.lit(f"{library}/images/"), ident, F.lit(".info/"))
+    named = F.concat(S.first_of(F.col("name"), ident), F.lit("."), F.col("ext"))
+    order = [named, F.col("file_name")] if kind == "video" else [F.col("file_name"), named]
+    tries = F.array(*[F.struct(F.lit(k).alias("prio"), F.concat(folder, c).alias("path")) for k, c in enumerate([*order, F.concat(ident, F.lit("."), F.col("ext"))])])
+    candidates = rows.select("id", F.explode(tries).alias("t")).select("id", "t.path", "t.prio").where("path IS NOT NULL")
+    inside = files.where(S.extension(F.col("path")).isin(*extensions)).select(F.regexp_extract("path", r"/images/([^/]*)\.info/[^/]*$", 1).alias("of"), "path")
+    covers = ~S.stem(F.col("path")).endswith("_thumbnail") if kind == "image" else F.lit(True)
+    found_inside = rows.select("id", ident.alias("of")).join(inside.where(covers), "of").select("id", "path", F.lit(9).alias("prio"))
+    found = first_existing(candidates.unionByName(found_inside), files).withColumnRenamed("id", "_id")
+    thumb = files.where(S.extension(F.col("path")).isin(*O.IMAGE_EXTENSIONS) & S.stem(F.col("path")).endswith("_thumbnail"))
+    place = F.array_position(F.array(*map(F.lit, O.IMAGE_EXTENSIONS)), S.extension(F.col("path")))
+    thumb = thumb.select(F.regexp_replace(S.stem(F.col("path")), "_thumbnail$", "").alias("_stem"), F.struct(place.alias("prio"), "path").alias("cover"))
+    thumb = thumb.groupBy("_stem").agg(F.min("cover").alias("cover"))
+    out = rows.join(found, F.col("id") == F.col("_id")).join(thumb, S.stem(F.col("path")) == F.col("_stem"), "left")
+    route = F.concat(F.lit("/serve_image/"), F.col("path"))
+    own = F.lit(O.DEFAULT_VIDEO_THUMBNAIL) if kind == "video" else route
+    return out.select(
+        "id", S.first_of(F.col("name"), S.base_name(F.col("path"))).alias("name"), "path", route.alias("source_url"),
+        F.coalesce(F.concat(F.lit("/serve_image/"), F.col("cover.path")), own).alias("thumbnail_route"),
+        S.mime_type(F.coalesce("ext", S.extension(F.col("path"))), F.lit(kind)).alias("mime_type"), F.coalesce("ext", S.extension(F.col("path"))).alias("ext"),
+        S.ordered_distinct(F.col("tags")).alias("tags"), S.ordered_distinct(F.col("folders")).alias("folders"), F.col("website").alias("original_url"), F.col("note").alias("description"),
+    )
+
+
+def panel(similar: Column, shown: int = 5) -> Column:
+    """What the side panel shows of a similar list; the viewer shows all."""
+    return F.slice(similar, 1, shown)

@@ -90,7 +90,7 @@ def stream_page(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E.ITEMS_SQL} SELECT id, name, row_number() OVER (ORDER BY lower(name), name, id) AS rank
+    f"""WITH {E.ITEMS_SQL} SELECT id, name, CAST(row_number() OVER (ORDER BY lower(name), name, id) AS INTEGER) AS rank
     FROM (SELECT * FROM items ORDER BY created DESC, id LIMIT 200)"""
 )
 def locale_sort(spark, sf_dir):
@@ -544,7 +544,7 @@ def root_guard(spark, sf_dir):
 @query(
     f"""WITH {E.ITEMS_SQL}, w AS (SELECT id, split_part(name, ' ', 1) AS prefix FROM items), s AS (SELECT prefix, count(*) AS size FROM w GROUP BY prefix HAVING count(*) >= 2
         ORDER BY sha1(concat('c|', prefix)), prefix LIMIT 3)
-    SELECT prefix, size, id, rank FROM (SELECT prefix, size, id, row_number() OVER (PARTITION BY prefix ORDER BY id) AS rank FROM w JOIN s USING (prefix)) WHERE rank <= 5"""
+    SELECT prefix, size, id, CAST(rank AS INTEGER) AS rank FROM (SELECT prefix, size, id, row_number() OVER (PARTITION BY prefix ORDER BY id) AS rank FROM w JOIN s USING (prefix)) WHERE rank <= 5"""
 )
 def prefix_clusters(spark, sf_dir):
     return recommend.prefix_clusters(E.items(spark, sf_dir), "name", "id", "c")

@@ -77,6 +77,6 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_store(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, mtime) of the files of any store that Spark reads; contents aren't read."""
+    """(path, size_bytes, mtime) of the files of any store that Spark reads; contents aren't read, and names that begin with . or _ are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.selectExpr("path", "length AS size_bytes", "modificationTime AS mtime")

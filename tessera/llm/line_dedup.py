@@ -13,6 +13,7 @@ their groups, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.edit_distance import within
 from tessera.llm.graph import components
-from tessera.llm.repeats import _held, key_filter, text_key
+from tessera.llm.repeats import _held, held_all, key_filter, text_key
 from tessera.llm.shared import ship, shipped, stash
 
 THRESHOLD = 2
@@ -32,6 +33,8 @@ LEAST_POINTS = 30
 #: Lines of one key that one task compares; more are cut into parts that meet in pairs.
 GROUP_ROWS = 1024
 _BATCH = 20_000
+_HALF = 1 << 63
+_hash = xxhash.xxh3_64_intdigest
 
 
 def line_text(line: str) -> str | None:
@@ -63,24 +66,32 @@ def probe_starts(length: int, more: int, segment: int, threshold: int) -> range:
     return range(max(start - segment, start + more - behind, 0), min(start + segment, start + more + behind) + 1)
 
 
-def _key(text: str, length: int, segment: int) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=length * 16 + segment) - (1 << 63)
+@lru_cache(maxsize=4096)
+def _cuts(length: int, threshold: int, probes: bool) -> list[tuple[int, int, int]]:
+    """(start, end, key seed) of a line's own segments, or of the substrings it probes with."""
+    out = []
+    for more in range(threshold + 1 if probes else 1):
+        for k, (s, z) in enumerate(segment_places(length - more, threshold)):
+            starts = probe_starts(length - more, more, k, threshold) if probes else [s]
+            out += [(at, at + z, (length - more) * 16 + k) for at in starts if at + z <= length and (more or not probes or at != s)]
+    return out
+
+
+def _keys(line: str, threshold: int, probes: bool) -> list[int]:
+    cuts = _cuts(len(line), threshold, probes)
+    if line.isascii():
+        held = line.encode()
+        return [_hash(held[a:z], seed) - _HALF for a, z, seed in cuts]
+    return [_hash(line[a:z].encode("utf-8", "surrogatepass"), seed) - _HALF for a, z, seed in cuts]
 
 
 def index_keys(line: str, threshold: int) -> list[int]:
-    return [_key(line[s : s + z], len(line), k) for k, (s, z) in enumerate(segment_places(len(line), threshold))]
+    return _keys(line, threshold, False)
 
 
 def probe_keys(line: str, threshold: int) -> list[int]:
     """Keys of shorter lines' segments and, shifted, of equally long lines' segments."""
-    out = []
-    for more in range(threshold + 1):
-        length = len(line) - more
-        for k, (s, z) in enumerate(segment_places(length, threshold)):
-            for at in probe_starts(length, more, k, threshold):
-                if at + z <= len(line) and (more or at != s):
-                    out.append(_key(line[at : at + z], length, k))
-    return out
+    return _keys(line, threshold, True)
 
 
 def first_common(short: str, long_: str, threshold: int) -> int | None:
@@ -122,17 +133,23 @@ def _keyed(docs: DataFrame, threshold: int, probes_into: np.ndarray | None = Non
         bitmap = None if held is None else shipped(held)
         seen: set[bytes] = set()
         for b in batches:
-            keys, lines = [], []
+            keys, names, counts = [], [], []
             for t in b.column(0).to_pylist():
                 for line in (t or "").split("\n"):
                     if (text := line_text(line)) is None or (name := line_hash(text)) in seen:
                         continue
                     if len(seen) < 200_000:  # spares repeats within a task, no more
                         seen.add(name)
-                    own = index_keys(text, threshold) if bitmap is None else [k for k in probe_keys(text, threshold) if _held(bitmap, k)]
+                    own = _keys(text, threshold, bitmap is not None)
                     keys += own
-                    lines += [name] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.binary())], ["segment", "line"])
+                    names.append(name)
+                    counts.append(len(own))
+            found = np.array(keys, np.int64)
+            line = np.repeat(np.arange(len(names)), counts)
+            if bitmap is not None:
+                met = held_all(bitmap, found)
+                found, line = found[met], line[met]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(names, pa.binary()).take(pa.array(line))], ["segment", "line"])
 
     return docs.select("text").mapInArrow(run, "segment long, line binary")
 

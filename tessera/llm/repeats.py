@@ -174,6 +174,11 @@ def _held(bitmap: np.ndarray, key: int) -> bool:
     return bool(bitmap[k >> 3] >> (7 - (k & 7)) & 1)
 
 
+def held_all(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys & (8 * len(bitmap) - 1)
+    return (bitmap[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _group_repeats(rows: list[tuple[int, int, bytes, int]], length: int) -> dict[int, np.ndarray]:
     """rows (number, group, stretch, owned strings) in order of group -> per number, flags of its strings that repeat.
 

@@ -139,6 +139,19 @@ ORACLE_SQL: dict[str, str] = {
             CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
         FROM words d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id
     """,
+    "op5_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n_bytes, row_number() OVER () AS r FROM documents),
+        w AS (SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n_bytes - 399)) AS p FROM d WHERE n_bytes >= 400)),
+        twice AS (SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+        runs AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM
+            (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM twice)),
+        spans AS (SELECT r, run, min(p) AS a, max(p) + 400 AS z FROM runs GROUP BY r, run),
+        cuts AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY z) AS z FROM spans GROUP BY r)
+        SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1),
+                lambda k: substr(h, 2 * CASE WHEN k = 0 THEN 0 ELSE z[k] END + 1, 2 * (CASE WHEN k = n_spans THEN n_bytes ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE z[k] END))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN cuts USING (r)
+    """,
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

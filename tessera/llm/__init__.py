@@ -1,11 +1 @@
-"""Operators for preparing training text.
-
-Nothing outside this package imports it.  Functions that run on executors are
-pickled by value, so a cluster needs no copy of the package on its workers.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training text; nothing outside this package imports it."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import shutil
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -19,6 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
+        atexit.register(shutil.rmtree, f"/tmp/checkpoints/tessera-{spark.sparkContext.applicationId}", ignore_errors=True)
     return root.rstrip("/")
 
 

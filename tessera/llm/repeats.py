@@ -110,7 +110,9 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, text -> anchor, body (hash of the owned stretch), doc_id, key, start, place, runs.
 
     The stretch begins at start; its anchor lies place bytes on, and it owns
-    runs + 1 strings.
+    runs + 1 strings.  Of stretches that a text holds again one stays, and what
+    they cover comes as spans from start on, with a null anchor and runs + 1
+    strings: a text of one short period is two rows, not one for each period.
     """
     names = ["anchor", "body", "doc_id", "key", "start", "place", "runs"]
 
@@ -128,10 +130,29 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
                 of = np.searchsorted([p[2] for p in pieces], first, side="right") - 1
                 shift = np.array([p[1] - p[2] for p in pieces])[of]
                 text = np.array([p[0] for p in pieces])[of].tolist()
-                body = [xxhash.xxh3_64_intdigest(buffer[s : e + length]) for s, e in zip(first.tolist(), last.tolist())]
+                body = np.array([xxhash.xxh3_64_intdigest(buffer[s : e + length]) for s, e in zip(first.tolist(), last.tolist())], np.uint64)
+                start, runs, place = first + shift, last - first, at - first
+                own = body + np.array(text, np.uint64) * np.uint64(_BASE)
+                _, one, back, many = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+                keep, none = np.ones(len(own), bool), np.zeros(len(own), bool)
+                if len(one) < len(own):
+                    keep[:] = False
+                    keep[one] = True
+                    covered: list[list[int]] = []
+                    for k in np.flatnonzero(many[back] > 1).tolist():
+                        if covered and covered[-1][0] == text[k] and start[k] <= covered[-1][2] + 1:
+                            covered[-1][2] = max(covered[-1][2], int(start[k] + runs[k]))
+                        else:
+                            covered.append([text[k], int(start[k]), int(start[k] + runs[k])])
+                    more = len(covered)
+                    text = [t for t, k in zip(text, keep) if k] + [c[0] for c in covered]
+                    start = np.append(start[keep], [c[1] for c in covered])
+                    runs = np.append(runs[keep], [c[2] - c[1] for c in covered])
+                    place, anchor, body = np.append(place[keep], [0] * more), np.append(anchor[keep], np.zeros(more, np.uint64)), np.append(body[keep], np.zeros(more, np.uint64))
+                    none = np.append(none[keep], np.ones(more, bool))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), pa.array([ids[k] for k in text], pa.int64()),
-                    pa.array([keys[k] for k in text], pa.int64()), pa.array(first + shift, pa.int64()), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)),
+                    pa.array(anchor.view(np.int64), mask=none), pa.array(body.view(np.int64), mask=none), pa.array([ids[k] for k in text], pa.int64()),
+                    pa.array([keys[k] for k in text], pa.int64()), pa.array(start.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(runs.astype(np.int32)),
                 ], names)
 
     schema = "anchor long, body long, doc_id long, key long, start long, place int, runs int"
@@ -261,12 +282,13 @@ def differing_repeats(cut: DataFrame, length: int) -> DataFrame:
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, key, start, end): byte spans that together cover all repeated strings."""
-    found = stash(stretches(docs, length), "stretches")
+    rows = stash(stretches(docs, length), "stretches")
+    found = rows.where("anchor IS NOT NULL")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("n > 1")
     several = stash(several.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchors")
     shared = stash(found.join(several, "anchor"), "shared")
     whole = [F.col("start"), (F.col("start") + F.col("runs") + length).alias("end")]
-    alike = shared.where("alike").select("doc_id", "key", *whole)
+    alike = shared.where("alike").unionByName(rows.where("anchor IS NULL"), allowMissingColumns=True).select("doc_id", "key", *whole)
     mixed = shared.where("NOT alike")
     by = ["anchor", "body", "place", "runs"]
     kinds = stash(mixed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("one")), "kinds")

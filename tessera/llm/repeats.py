@@ -266,7 +266,8 @@ def differing_repeats(cut: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for anchor, pa_, pb, doc, key, start, owned, stretch in zip(*(c.to_pylist() for c in b.columns)):
                 if (anchor, pa_, pb) != group:
-                    if size > SHARD_BYTES:
+                    # parts of one anchor hold the same stretches again, which must not meet themselves
+                    if size > SHARD_BYTES or group and group[0] == anchor:
                         yield solve()
                         size = 0
                     group, groups = (anchor, pa_, pb), groups + 1

@@ -187,7 +187,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     other id: then component_id is null.  Empty table: no rows.
     """
     rows = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "fingerprints")
-    return rows.join(print_groups(rows, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    # a table of its own, so that both sides of the join are plain shuffles and a hot fingerprint can be split
+    groups = stash(print_groups(rows, radius), "print-groups")
+    return rows.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def print_groups(rows: DataFrame, radius: int) -> DataFrame:

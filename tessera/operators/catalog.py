@@ -49,7 +49,7 @@ def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def insert_if_absent(catalog: DataFrame, crawled: DataFrame, key: str = "item_id", order: tuple[str, ...] = ("src_rank", "absolute_path")) -> tuple[DataFrame, DataFrame]:
     """(new rows, counts seen, inserted, skipped): rows whose key the catalog lacks, first wins; known rows stay as they are."""
     fresh = first_wins(crawled, key, *order).join(catalog.select(key), key, "left_anti")
-    counts = crawled.agg(F.count(F.lit(1)).alias("seen")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("inserted")))  # one row each
+    counts = crawled.agg(F.count(F.lit(1)).alias("seen")).withColumn("inserted", fresh.agg(F.count(F.lit(1))).scalar())
     return fresh, counts.withColumn("skipped", F.col("seen") - F.col("inserted"))
 
 
@@ -87,8 +87,8 @@ def refresh(catalog: DataFrame, listing: DataFrame, root: str, now: Column, refr
         kept = kept.join(new, "item_id", "left")
         for c in ("size_bytes", "mime_type", "tags", "item_type"):
             kept = kept.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    removed = catalog.agg(F.count(F.lit(1)).alias("a")).crossJoin(kept.agg(F.count(F.lit(1)).alias("b"))).select((F.col("a") - F.col("b")).alias("removed"))
-    return kept.select(*catalog.columns).unionByName(fresh.select(*catalog.columns)), counts.crossJoin(removed)
+    size = lambda rows: rows.agg(F.count(F.lit(1))).scalar()
+    return kept.select(*catalog.columns).unionByName(fresh.select(*catalog.columns)), counts.withColumn("removed", size(catalog) - size(kept))
 
 
 def upsert_latest(rows: DataFrame, key: str, *latest: Column, keep_known: tuple[str, ...] = ()) -> DataFrame:
@@ -125,5 +125,5 @@ def page(items: DataFrame, limit: int = O.PAGE_DEFAULT, offset: int = 0, by: str
 
 
 def with_total(page_rows: DataFrame, items: DataFrame) -> DataFrame:
-    """The page's rows with the number of all items; the count is one row."""
-    return page_rows.crossJoin(items.agg(F.count(F.lit(1)).alias("total")))
+    """The page's rows with the number of all items, a scalar subquery."""
+    return page_rows.withColumn("total", items.agg(F.count(F.lit(1))).scalar())

@@ -96,9 +96,8 @@ def stream_page(items: DataFrame, limit: int = O.STREAM_DEFAULT, offset: int = 0
     """Six fields of a page, newest first then by name, rows without id dropped; next_offset counts the rows fetched."""
     limit = max(1, min(O.STREAM_MOST, limit))
     got = page_then_sort(items, "created", "id", limit, offset)
-    fetched = got.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    kept = got.where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "").crossJoin(fetched)
-    out = with_detail(kept, return_to).withColumn("next_offset", F.lit(max(0, offset)) + F.col("_n"))
+    kept = got.where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "")
+    out = with_detail(kept, return_to).withColumn("next_offset", F.lit(max(0, offset)) + got.agg(F.count(F.lit(1))).scalar())
     return out.select("id", "name", "media_type", "thumbnail_route", "url", "detail_url", "next_offset")
 
 

@@ -61,7 +61,7 @@ def similar_items(items: DataFrame, current_id, tags: list[str], folders: list[s
     elif by_folder is None:
         found = by_tag
     else:
-        found = by_tag.unionByName(by_folder.join(by_tag.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0"), how="cross").drop("_n"))  # no row or one
+        found = by_tag.unionByName(by_folder.where(by_tag.agg(F.count(F.lit(1))).scalar() == 0))
     if found is None:
         return items.limit(0)
     return sample(found.drop("term"), limit, seed, "id").orderBy("name", "id")

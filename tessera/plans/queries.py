@@ -206,7 +206,7 @@ def insert_if_absent(spark, sf_dir):
     one = orders.where("o_orderkey % 2 = 0").select("item_id", "o_custkey", "o_orderpriority")
     again = orders.where("o_orderkey % 4 = 0").select("item_id", (col("o_custkey") + 1).alias("o_custkey"), F.lit("again").alias("o_orderpriority"))
     fresh, counts = catalog.insert_if_absent(known, one.unionByName(again), order=("o_custkey",))
-    return fresh.crossJoin(counts)
+    return fresh.withColumns({c: counts.select(c).scalar() for c in counts.columns})
 
 
 @query(

@@ -206,3 +206,29 @@ def test_near_texts(spark):
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == brute.near_keepers(rows)
     assert near_text.drop_near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [2048, 8])
+def test_near_texts_of_one_template(spark, group_rows):
+    """Similarities round the limit: a pair that fails must not hide one that passes."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(8):
+        base = [f"f{f}w{k}" for k in range(150)]
+        for _ in range(25):
+            c = list(base)
+            for k in rng.sample(range(150), rng.choice([2, 3, 4, 5])):
+                c[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(c)))
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = near_text.near_classes(frame, group_rows=group_rows).collect()
+    assert sorted({r.keep_id for r in got}) == brute.near_keepers(rows)
+
+
+def test_equal_fingerprints_are_all_compared():
+    """Rows 1 and 2 are alike, the least row 0 is like neither: the pair is found though all share one fingerprint."""
+    far, near = np.arange(100, 200, dtype=np.uint64), np.arange(10, dtype=np.uint64)
+    sets = [far, near, near]
+    rows = [(0, bytes([k]), bytes(near_text.PLACES), [k] * near_text.BANDS, 7, x.tobytes()) for k, x in enumerate(sets)]
+    group = near_text._Group(-1, rows, False, 2)
+    assert group.compared() == rows and group.forest(0.8) == [(bytes([2]), bytes([1]))]

@@ -28,8 +28,8 @@ from tessera.llm.repeats import _held, held_all, key_filter, text_key
 from tessera.llm.shared import ship, shipped, stash
 
 THRESHOLD = 2
-#: Shorter lines, in code points without white space at the ends, are neither joined nor removed.
-LEAST_POINTS = 30
+#: Shorter lines, in code points without white space at the ends, are not joined by edits, as two edits make other words of them; equal ones are removed down to `least` points, by default this many.
+LEAST_POINTS = 15
 #: Lines of one key that one task compares; more are cut into parts that meet in pairs.
 GROUP_ROWS = 1024
 _BATCH = 20_000
@@ -37,10 +37,10 @@ _HALF = 1 << 63
 _hash = xxhash.xxh3_64_intdigest
 
 
-def line_text(line: str) -> str | None:
-    """What is compared of a line: without white space at its ends; None if that is too short."""
+def line_text(line: str, least: int | None = None) -> str | None:
+    """What is compared of a line: without white space at its ends; None if that is empty or under least points (LEAST_POINTS)."""
     line = line.strip()
-    return line if len(line) >= LEAST_POINTS else None
+    return line if line and len(line) >= (LEAST_POINTS if least is None else least) else None
 
 
 def line_hash(line: str) -> bytes:
@@ -104,7 +104,7 @@ def first_common(short: str, long_: str, threshold: int) -> int | None:
     return None
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
+def line_rows(docs: DataFrame, least: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, key, line_no, line (hash; null for lines too short), points."""
     names = ["doc_id", "key", "line_no", "line"]
 
@@ -114,7 +114,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 key = text_key((t or "").encode("utf-8", "surrogatepass"))
                 for n, line in enumerate((t or "").split("\n")):
-                    text = line_text(line)
+                    text = line_text(line, least)
                     out.append((i, key, n, None if text is None else line_hash(text)))
                 if len(out) > _BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
@@ -252,16 +252,17 @@ def _verifier(threshold: int):
     return run
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS, least: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, key, line_no, copies, links, keep (doc_id, key, line_no), kept; one row per line occurrence.
 
     Lines are linked if within threshold edits (code points, white space at the
     ends aside).  links: other line texts linked to this one; copies: its
     occurrences; keep: the first occurrence, by doc_id (nulls first), key and
-    number, of the line's connected class.  Lines under LEAST_POINTS have nulls
-    and are kept.
+    number, of the line's connected class.  Lines under LEAST_POINTS link to
+    none; those under least points (LEAST_POINTS if not given) and empty ones
+    have nulls and are kept.
     """
-    rows = stash(line_rows(docs), "lines")
+    rows = stash(line_rows(docs, least), "lines")
     found = stash(line_links(docs, threshold, group_rows), "line-links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
@@ -285,10 +286,10 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int =
     )
 
 
-def text_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def text_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, key, n_lines, n_removed, n_links, removed (line numbers), class_ids (doc_id of each removed line's keeper)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = line_classes(docs, threshold)
+    lines = line_classes(docs, threshold, least=least)
     gone = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", F.col("keep.doc_id").alias("keeper")))))
     return lines.groupBy("doc_id", "key").agg(
         F.count_distinct("line_no").alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.max("line_no").alias("last"), gone.alias("gone"),
@@ -299,15 +300,16 @@ def text_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int | None = None) -> DataFrame:
     """docs with all its columns: text without the lines of which an equal or near line comes first elsewhere.
 
     A document that had text and loses every line goes, as all it said is kept
     in another; null and empty texts stay as they are.  A column n_chars, where
     there is one, becomes the new text's length.  Rows equal in id and text
-    share their fate.  Empty table: no rows.
+    share their fate.  Lines under least points stay, see line_classes.  Empty
+    table: no rows.
     """
-    classes = text_classes(docs, threshold).where("n_removed > 0").select(F.col("doc_id").alias("_line_id"), F.col("key").alias("_line_key"), F.col("removed").alias("_line_gone"))
+    classes = text_classes(docs, threshold, least).where("n_removed > 0").select(F.col("doc_id").alias("_line_id"), F.col("key").alias("_line_key"), F.col("removed").alias("_line_gone"))
     classes = stash(classes, "line-cuts")
     given = list(docs.columns)
     names = ["_line_text_key", *given]

@@ -65,7 +65,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = text_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     cols = ["doc_id", "n_lines", "n_removed", "n_links", "removed", "class_ids"]
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*cols)
 

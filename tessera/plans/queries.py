@@ -403,7 +403,7 @@ _FOCUS_SQL = """f AS (SELECT doc_id, source, lower(concat(substring(text, 1, 60)
 @query(f"WITH {_FOCUS_SQL} SELECT doc_id, matched FROM h")
 def focus_match(spark, sf_dir):
     url = F.concat(F.lit("https://"), "source", F.lit(".example/"), col("doc_id").cast("string"))
-    hit = P.focus_match(_mode(), F.substring("text", 1, 60), url, F.array("lang", "source"))
+    hit = P.focus_match(_mode(), col("text"), url, F.array("lang", "source"))
     return E.read(spark, sf_dir, "documents").select("doc_id", hit.alias("matched"))
 
 

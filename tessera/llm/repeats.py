@@ -170,11 +170,13 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     block = 1 << 16
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            own[b.column(0).to_numpy() & (bits - 1)] = True
-        used = np.flatnonzero(own.reshape(-1, block).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([np.packbits(own[k * block : (k + 1) * block]).tobytes() for k in used.tolist()], pa.binary())], ["block", "bits"])
+            k = b.column(0).to_numpy() & (bits - 1)
+            np.bitwise_or.at(own, k >> 3, np.uint8(128) >> (k & 7).astype(np.uint8))
+        blocks = own.reshape(-1, block // 8)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([blocks[k].tobytes() for k in used.tolist()], pa.binary())], ["block", "bits"])
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block // 8, np.uint8)

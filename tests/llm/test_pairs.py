@@ -26,11 +26,13 @@ def test_fingerprints_and_bk_tree():
     for v in values:
         tree.add(v)
     for q in values[:50]:
+        assert BkTree.unpacked(tree.packed()).within(q, 2) == tree.within(q, 2)
         assert sorted(values[k] for k in tree.within(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
 
 
-@pytest.mark.parametrize("limit", [4, 1024])
-def test_links_connect_what_brute_force_connects(spark, limit):
+@pytest.mark.parametrize(("limit", "nodes"), [(4, 0), (4, 1 << 20), (1024, 0), (1024, 1 << 20)])
+def test_links_connect_what_brute_force_connects(spark, limit, nodes):
+    """Shard trees probed where they are built and broadcast ones give the same groups."""
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(40)}
     for v in list(values)[:15]:
@@ -46,7 +48,7 @@ def test_links_connect_what_brute_force_connects(spark, limit):
                 groups.join(a, b)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
-    roots = {r.node: r.root for r in components(links(frame, 2, limit)).collect()}
+    roots = {r.node: r.root for r in components(links(frame, 2, limit, nodes)).collect()}
     got, want = {}, {}
     for k, v in enumerate(signed):
         got.setdefault(roots.get(v, v), set()).add(v)
@@ -84,20 +86,41 @@ def test_edit_distance():
         assert within(pairs, most).tolist() == [brute.edit_distance(a, b) <= most for a, b in pairs]
 
 
-@pytest.mark.parametrize(("threshold", "group_rows"), [(2, 1024), (1, 4)])
-def test_line_join(spark, monkeypatch, threshold, group_rows):
-    monkeypatch.setattr(line_dedup, "LEAST_POINTS", 10)
+def test_segment_keys_of_long_lines(monkeypatch):
+    """A line keyed by pieces has the keys of one keyed in a portion, and probes hit the segments of near lines."""
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abé𐐷 ") for _ in range(n)) for n in (0, 9, 10, 25, 31, 64, 200, 333)]
+    flat = lambda probes: sorted((int(k), int(v), int(n)) for a, b, c in line_dedup.SegmentKeys(2, probes).of(lines) for k, v, n in zip(a, b, c))
+    whole = flat(False), flat(True)
+    monkeypatch.setattr(line_dedup, "_LONG", 20)
+    assert (flat(False), flat(True)) == whole
+    own = {v for k, v, _ in whole[0] if k == 6}
+    for _ in range(30):
+        other = edited(rng, lines[6], 2)
+        near = {int(v) for a, b, _ in [*line_dedup.SegmentKeys(2, True).of([other]), *line_dedup.SegmentKeys(2, False).of([other])] for v in b}
+        shorter = {int(v) for _, b, _ in line_dedup.SegmentKeys(2, False).of([other]) for v in b}
+        back = {int(v) for _, b, _ in line_dedup.SegmentKeys(2, True).of([lines[6]]) for v in b} | own
+        assert near & own if len(other) >= len(lines[6]) else shorter & back
+
+
+@pytest.mark.parametrize(("threshold", "group_rows"), [(2, 1024), (1, 4), (3, 64)])
+def test_line_join(spark, threshold, group_rows):
+    """Lines of 0 to 42 code points, so of all classes of length, exact copies included."""
     rng = random.Random(threshold)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(5, 30))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 40))) for _ in range(35)]
     rows = [(k if rng.random() < 0.9 else None, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 1, 2, 3])) for _ in range(rng.randint(0, 6)))) for k in range(50)]
     rows += [(300, None), (301, ""), (302, "\n\n"), (303, rows[5][1]), rows[6], *((400 + k, f"template line {k:03d} end") for k in range(20))]
-    occurrences = [(d, t, n, s if len(s := x.strip()) >= 10 else None) for d, t in rows for n, x in enumerate((t or "").split("\n"))]
+    rows += [(500 + k, f"{'x' * 30}{'yz' * (k % 3)}\n  {'long line ' * 4000}{k}") for k in range(4)]
+    occurrences = [(d, t, n, x.strip() or None) for d, t in rows for n, x in enumerate((t or "").split("\n"))]
     lines = sorted({o[3] for o in occurrences if o[3]})
     at = {x: k for k, x in enumerate(lines)}
     groups, n_links = brute.Groups(len(lines)), [0] * len(lines)
     for a in range(len(lines)):
         for b in range(a):
-            if abs(len(lines[a]) - len(lines[b])) <= threshold and brute.edit_distance(lines[a], lines[b]) <= threshold:
+            most = min(threshold, min(len(lines[a]), len(lines[b])) // 10)
+            if abs(len(lines[a]) - len(lines[b])) > most or len(lines[a]) > 9999 and lines[a][:9999] == lines[b][:9999] and lines[a][:-1] != lines[b][:-1]:
+                continue
+            if len(lines[a]) > 9999 or brute.edit_distance(lines[a], lines[b]) <= most:
                 groups.join(a, b)
                 n_links[a] += 1
                 n_links[b] += 1
@@ -126,8 +149,9 @@ def test_repeated_lines_go(spark):
     line, other = "this line is long enough to be looked at", "another line that is long enough as well"
     rows = [(1, f"{line}\nshort", 9, "k"), (2, f"short\n{line}x\n{other}", 9, "k"), (3, line, 9, "k"), (4, None, 9, "k"), (5, "", 9, "k"), (6, "short", 9, "k")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, line string")
-    got = {r.doc_id: (r.text, r.n_chars, r.line) for r in line_dedup.drop_repeated_lines(frame).collect()}
+    got = {r.doc_id: (r.text, r.n_chars, r.line) for r in line_dedup.drop_repeated_lines(frame, least=10).collect()}
     want = {1: f"{line}\nshort", 2: f"short\n{other}", 4: None, 5: "", 6: "short"}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame).collect()} == {1: f"{line}\nshort", 2: other, 4: None, 5: ""}
     assert got == {k: (t, None if t is None else len(t), "k") for k, t in want.items()}
     assert line_dedup.drop_repeated_lines(frame.limit(0)).columns == frame.columns
 

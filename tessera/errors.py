@@ -21,6 +21,10 @@ class ExternalServiceError(MediaError):
     pass
 
 
+class FeatureUnavailable(MediaError):
+    """A feature whose source doesn't answer."""
+
+
 class BookmarkError(MediaError):
     pass
 

@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from tessera import options as O
 
+# The pattern of an OpenGraph image tag, and the texts of a focus mode's summary.
 OG_IMAGE = r"""(?i)<meta[^>]+property=['"]og:image['"][^>]*content=['"]([^'"]+)"""
 
+FOCUS_SUMMARY = ("🎯 {} 專注模式｜", "本層 %d / %d 筆，含子層 %d 筆", "，目前沒有符合的書籤")
+FOCUS_COUNT = "%d 個專注書籤"
+
 
 def _empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
@@ -192,6 +196,16 @@ def parse_flag(text: str | None) -> bool:
     return (text or "").strip().lower() in {"1", "true", "yes", "y"}
 
 
+def parse_int(text: str | None, default: int) -> int:
+    """A request parameter; absent: the default; anything but a whole number raises ValueError."""
+    return default if text is None else int(text.strip())
+
+
+def int_or_null(text: Column) -> Column:
+    """Whole numbers of texts, with white space round them and a sign; null for anything else."""
+    return F.when(trim_space(text).rlike(r"^[+-]?[0-9]+$"), trim_space(text)).try_cast("long")
+
+
 def first_word(text: Column) -> Column:
     """The first token between white space; null for blank text."""
     return _empty_to_null(F.regexp_extract(text, r"(?U)^\s*(\S+)", 1))
@@ -201,6 +215,20 @@ def folder_title(name: Column) -> Column:
     return F.concat(F.lit("📁 "), name)
 
 
+def focus_summary(label: str, matched: Column, total: Column, below: Column) -> Column:
+    """What a folder page says of its active focus mode."""
+    head, counts, none = FOCUS_SUMMARY
+    return F.concat(F.lit(head.replace("{}", label)), F.format_string(counts, matched, total, below), F.when(matched == 0, none).otherwise(""))
+
+
+def focus_count(matched: Column) -> Column:
+    return F.format_string(FOCUS_COUNT, matched)
+
+
+def cluster_title(prefix: Column, size: Column) -> Column:
+    return F.format_string("%s (%d)", prefix, size)
+
+
 def badge(media_type: Column, ext: Column) -> Column:
     return F.when(media_type == "folder", "📁 Folder").otherwise(F.upper(F.coalesce(_empty_to_null(ext), media_type)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import options as O
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
+from tessera.session import cut_lineage
 
 
 def item_rows(listing: DataFrame) -> DataFrame:
@@ -47,8 +48,11 @@ def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def insert_if_absent(catalog: DataFrame, crawled: DataFrame, key: str = "item_id", order: tuple[str, ...] = ("src_rank", "absolute_path")) -> tuple[DataFrame, DataFrame]:
-    """(new rows, counts seen, inserted, skipped): rows whose key the catalog lacks, first wins; known rows stay as they are."""
-    fresh = first_wins(crawled, key, *order).join(catalog.select(key), key, "left_anti")
+    """(new rows, counts seen, inserted, skipped): rows whose key the catalog lacks, first wins; known rows stay as they are.
+
+    The new rows are written once, so that the counts don't crawl again.
+    """
+    fresh = cut_lineage(first_wins(crawled, key, *order).join(catalog.select(key), key, "left_anti"))
     counts = crawled.agg(F.count(F.lit(1)).alias("seen")).withColumn("inserted", fresh.agg(F.count(F.lit(1))).scalar())
     return fresh, counts.withColumn("skipped", F.col("seen") - F.col("inserted"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import options as O
@@ -58,10 +62,13 @@ def resolve_cover(item_type: Column, path: Column, folder_cover: Column, video_c
 
 
 def folder_links(items: DataFrame, folders: DataFrame, key: str = "id") -> DataFrame:
-    """(key, folder_id, folder_name, rank): an item's distinct folders, named by id where unknown, by lower-case name."""
-    ids = items.select(F.col(key).alias("item"), F.explode(S.ordered_distinct(F.col("folders"))).alias("folder_id"))
+    """(item, folder_id, folder_name, rank): an item's distinct folders, named by id where unknown; rank 1.. by lower-case name, then as listed."""
+    ids = items.select(F.col(key).alias("item"), F.posexplode(S.ordered_distinct(F.col("folders"))).alias("pos", "folder_id"))
     known = folders.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
-    return ids.join(known, F.col("folder_id") == F.col("_id"), "left").select("item", "folder_id", F.coalesce("_name", "folder_id").alias("folder_name"))
+    name = F.coalesce(S._empty_to_null(F.col("_name")), F.col("folder_id"))
+    named = ids.join(known, F.col("folder_id") == F.col("_id"), "left").select("item", "folder_id", name.alias("folder_name"), "pos")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.lower("folder_name"), "pos"))  # an item's folders
+    return named.withColumn("rank", rank).drop("pos")
 
 
 def folder_covers(folders: DataFrame, items: DataFrame) -> DataFrame:
@@ -75,6 +82,7 @@ def bookmark_thumbnails(bookmarks: DataFrame, thumbnails: DataFrame, domains: tu
 
     A stored cover (thumbnails: media_id, local_path) wins, then the YouTube
     template, then the page's og:image on special sites, else the default.
+    sub_type is special only where such an image was found.
     """
     video = S.youtube_id(F.col("url"))
     special = P.special_site(F.col("url"), domains)
@@ -85,5 +93,39 @@ def bookmark_thumbnails(bookmarks: DataFrame, thumbnails: DataFrame, domains: tu
     found = F.coalesce(F.col("local_path"), S.youtube_thumbnail(video), F.when(special, og))
     return out.select(
         "id", "media_id", F.coalesce(found, F.lit(O.DEFAULT_THUMBNAIL)).alias("thumbnail_route"),
-        F.when(P.is_youtube(F.col("url")), "youtube").when(special, "special").alias("sub_type"),
+        F.when(P.is_youtube(F.col("url")), "youtube").when(special & og.isNotNull(), "special").alias("sub_type"),
+    )
+
+
+def store_thumbnails(fetched: DataFrame, folder: str) -> DataFrame:
+    """fetched (media_id, bytes, content_type, url, source) -> (media_id, local_path, source), the files written below folder.
+
+    folder: a URI that all executors reach.  The file is named by media_id and
+    the type's extension; of equal names the last one written stays.  Rows
+    without bytes write nothing and are left out.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for b in batches:
+            for name, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                with files.open_output_stream(posixpath.join(base, name)) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{folder.rstrip('/')}/{n}" for n in b.column(1).to_pylist()], pa.string()), b.column(3)], ["media_id", "local_path", "source"])
+
+    name = F.concat("media_id", F.lit("."), S.image_extension(F.col("content_type"), F.col("url")))
+    held = fetched.where("length(bytes) > 0").select("media_id", name.alias("name"), "bytes", "source")
+    return held.mapInArrow(write, "media_id string, local_path string, source string")
+
+
+def registered(bookmarks: DataFrame, at: Column) -> DataFrame:
+    """The media rows that bookmarks (url, title, folder_path) register: id, source, original_url, title, media_type, sub_type, extra, updated_at."""
+    video = S.youtube_id(F.col("url"))
+    extra = F.to_json(F.struct(F.coalesce("folder_path", F.lit("")).alias("folder_path")))
+    return bookmarks.select(
+        S.media_id(F.lit("bookmark"), F.col("url"), F.col("title")).alias("id"), F.lit("bookmark").alias("source"), F.col("url").alias("original_url"), "title",
+        F.lit("bookmark").alias("media_type"), F.when(video != "", "youtube").alias("sub_type"), extra.alias("extra"), at.alias("updated_at"),
     )

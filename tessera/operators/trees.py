@@ -1,7 +1,8 @@
 """Trees given as edges or as flattened nodes that carry their path.
 
 Levels are joined one by one, so depth, not size, sets the number of rounds;
-lineage is cut every few rounds and cycles end at max_depth.
+each level is written before the next one joins it, so none is computed again.
+Cycles end at max_depth.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.session import cut_lineage
 
-_CUT = 8
-
 
 def flatten(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     """edges (id, parent_id, name, pos) -> id, parent_id, name, parent_name, depth, pos_path, id_path, names.
@@ -24,19 +23,17 @@ def flatten(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     Roots have a null parent_id and parent_name ''.  pos_path orders the rows
     in pre-order; paths run from the root to the node.
     """
-    level = edges.where("parent_id IS NULL").select(
+    level = cut_lineage(edges.where("parent_id IS NULL").select(
         "id", "parent_id", "name", F.lit("").alias("parent_name"), F.lit(0).alias("depth"), F.array("pos").alias("pos_path"), F.array("id").alias("id_path"), F.array("name").alias("names")
-    )
+    ))
     out, depth = level, 0
     child = edges.select(F.col("id").alias("c_id"), F.col("parent_id").alias("c_parent"), F.col("name").alias("c_name"), F.col("pos").alias("c_pos"))
     while depth < max_depth and not level.isEmpty():
         depth += 1
-        level = level.join(child, F.col("id") == F.col("c_parent")).select(
+        level = cut_lineage(level.join(child, F.col("id") == F.col("c_parent")).select(
             F.col("c_id").alias("id"), F.col("c_parent").alias("parent_id"), F.col("c_name").alias("name"), F.col("name").alias("parent_name"), F.lit(depth).alias("depth"),
             F.concat("pos_path", F.array("c_pos")).alias("pos_path"), F.concat("id_path", F.array("c_id")).alias("id_path"), F.concat("names", F.array("c_name")).alias("names"),
-        )
-        if depth % _CUT == 0:
-            level, out = cut_lineage(level), cut_lineage(out)
+        ))
         out = out.unionByName(level)
     return out
 
@@ -54,9 +51,16 @@ def breadcrumb(flat: DataFrame, unnamed: str = O.UNNAMED_FOLDER, base: str = "/b
     return flat.select("id", labels.alias("labels"), S.join_labels(labels).alias("path_display"), F.concat(F.lit(base), S.percent_encode(path)).alias("url"))
 
 
-def resolve(flat: DataFrame, id_path: list) -> DataFrame:
-    """The node at the path of ids; raises BookmarkNotFound if there is none."""
+def resolve(flat: DataFrame, id_path: list, is_folder: Column | None = None) -> DataFrame:
+    """The node at the path of ids; raises BookmarkNotFound if there is none, or if it or a node above it is no folder.
+
+    is_folder: by type, where flat has one; else all nodes are folders.
+    """
     row = flat.where(F.col("id_path") == F.array(*map(F.lit, id_path)))
+    if is_folder is not None:
+        above = [F.array(*map(F.lit, id_path[: k + 1])) for k in range(len(id_path))]
+        others = flat.where(~F.coalesce(is_folder, F.lit(False)) & F.col("id_path").isin(*above)).select("id")
+        row = row.where(others.agg(F.count(F.lit(1))).scalar() == 0)
     if row.isEmpty():
         raise BookmarkNotFound("/".join(map(str, id_path)))
     return row
@@ -74,17 +78,36 @@ def rollup(flat: DataFrame, leaves: DataFrame, matched: Column) -> DataFrame:
 
 
 def folder_view(flat: DataFrame, leaves: DataFrame, parent_id, matched: Column, active: bool = True) -> DataFrame:
-    """Child folders with matches (all, without an active mode) and matching direct leaves that have a URL."""
+    """Child folders with matches (all, without an active mode) and matching direct leaves; leaves without a URL count and show nowhere."""
+    leaves = leaves.where(F.coalesce("url", F.lit("")) != "")
     counts = rollup(flat, leaves, matched)
     folders = flat.where(F.col("parent_id") == parent_id).join(counts, "id")
     if active:
         folders = folders.where("matched > 0")
     folders = folders.select("id", "name", F.lit("folder").alias("media_type"), F.col("matched").alias("n"), F.lit(0).alias("rank"))
-    direct = leaves.where((F.col("node_id") == parent_id) & (F.coalesce("url", F.lit("")) != "") & (matched if active else F.lit(True)))
+    direct = leaves.where((F.col("node_id") == parent_id) & (matched if active else F.lit(True)))
     direct = direct.select(F.col("leaf_id").alias("id"), "name", F.lit("bookmark").alias("media_type"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("rank"))
     return folders.unionByName(direct)
 
 
+def focus_stats(flat: DataFrame, leaves: DataFrame, parent_id, matched: Column, label: str | None = None) -> DataFrame:
+    """One row: total and matched direct bookmarks, matched with subfolders, has_results, and with a mode's label the summary of it.
+
+    Leaves without a URL count nowhere.
+    """
+    leaves = leaves.where(F.coalesce("url", F.lit("")) != "")
+    below = flat.where(F.array_contains("id_path", parent_id)).select(F.col("id").alias("node_id"))
+    hit = F.coalesce(matched, F.lit(False))
+    direct = F.col("node_id") == parent_id
+    counts = leaves.withColumn("hit", hit).join(below, "node_id").agg(
+        F.count_if(direct).alias("total_bookmarks"), F.count_if(direct & F.col("hit")).alias("matched_bookmarks"), F.count_if("hit").alias("matched_including_subfolders")
+    )
+    counts = counts.withColumn("has_results", F.col("matched_bookmarks") > 0)
+    if label is None:
+        return counts
+    return counts.withColumn("description", S.focus_summary(label, F.col("matched_bookmarks"), F.col("total_bookmarks"), F.col("matched_including_subfolders")))
+
+
 def youtube_walk(nodes: DataFrame, repeat_root: bool = False) -> DataFrame:
     """Bookmarks with a YouTube id in root order, then pre-order, with their folder path.
 
@@ -103,8 +126,8 @@ def youtube_walk(nodes: DataFrame, repeat_root: bool = False) -> DataFrame:
 
 
 def bookmark_leaves(nodes: DataFrame) -> DataFrame:
-    """nodes -> leaves of the focus roll-up: leaf_id, node_id, name, url, labels (of their folders)."""
-    return nodes.where("type = 'url'").select(
+    """nodes -> leaves of the focus roll-up: leaf_id, node_id, name, url, labels (of their folders); bookmarks without a URL are none."""
+    return nodes.where("type = 'url' AND url <> ''").select(
         F.col("id").alias("leaf_id"), F.col("parent_id").alias("node_id"), S.first_of(F.col("name"), F.col("url")).alias("name"), "url",
         F.slice("labels", 1, F.size("labels") - 1).alias("labels"), "pos",
     )

@@ -10,6 +10,8 @@ DEFAULT_VIDEO_THUMBNAIL = "/static/default_video_thumbnail.svg"
 YOUTUBE_THUMBNAIL = "https://img.youtube.com/vi/{}/hqdefault.jpg"
 GENERATED_DIR = "data/thumbnails/items"
 UNNAMED_FOLDER = "(未命名資料夾)"
+#: What an unnamed root is called; others by their key.
+ROOT_LABELS = {"bookmark_bar": "Bookmarks"}
 BOOKMARK_ROOTS = ("bookmark_bar", "other", "synced", "mobile")
 ALL_MODE = ("all", "全部書籤", "顯示所有 Chrome 書籤")
 #: Sites whose cover comes from their page's OpenGraph tag; an option, none by default.
@@ -29,4 +31,5 @@ SIMILAR_LIMIT = 6
 STREAM_DEFAULT, STREAM_MOST = 30, 60
 PAGE_DEFAULT, PAGE_ROUTE_DEFAULT, PAGE_MOST = 500, 200, 1000
 AVAILABILITY_SECONDS = 60
+FOLDER_ROUTE = "/assets/folder/"
 DETAIL_ROUTES = {"image": "/assets/image/", "video": "/assets/video/"}

@@ -60,6 +60,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tags", F.array("type", "brand")).withColumn("folders", F.array("folder_a", "folder_b"))
 
 
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks below the folders of edges(); some have no URL."""
+    return read(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS leaf_id", "concat('n', c_nationkey) AS node_id", "c_name AS name", "CASE WHEN c_acctbal >= 0 THEN concat('https://c/', c_custkey) END AS url",
+        "c_mktsegment AS segment", "c_acctbal AS balance",
+    )
+
+
+def bookmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): a bookmark file's JSON text for each nation: its pages below the root, those with a video in a folder of their own."""
+    video = "CASE WHEN contains(url, 'youtube.com/watch') AND contains(url, 'v=') THEN split_part(split_part(url, 'v=', 2), '&', 1) WHEN contains(url, 'youtu.be/') THEN split_part(split_part(url, 'youtu.be/', 2), '?', 1) ELSE '' END <> ''"
+    node = F.struct("id", F.concat(F.lit("p"), "id").alias("key"), "title", "url")
+    held = bookmarks(spark, sf_dir).withColumn("nk", F.col("id") % 25).withColumn("video", F.expr(video))
+    made = lambda rows: F.transform(F.array_sort(rows), lambda x: F.struct(x["key"].alias("id"), x["title"].alias("name"), F.lit("url").alias("type"), x["url"].alias("url")))
+    held = held.groupBy("nk").agg(made(F.collect_list(F.when(F.col("video"), node))).alias("videos"), made(F.collect_list(F.when(~F.col("video"), node))).alias("others"))
+    held = held.join(read(spark, sf_dir, "nation"), F.col("nk") == F.col("n_nationkey"))
+    folder = "named_struct('id', concat('n', nk, '-v'), 'name', 'Videos', 'type', 'folder', 'children', videos)"
+    root = f"to_json(named_struct('id', concat('n', nk), 'name', n_name, 'type', 'folder', 'children', parse_json(concat('[', array_join(array_insert(transform(others, o -> to_json(o)), 1, to_json({folder})), ','), ']'))))"
+    return held.selectExpr(f"concat('{{\"roots\": {{\"bookmark_bar\": ', {root}, '}}}}') AS value")
+
+
 def stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('item ', event_id % 97) AS name", "event_type AS media_type", "ts AS created", "value AS rating")
 
@@ -74,6 +95,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES_SQL = f"files AS (SELECT *, {_PATH} FROM (SELECT {', '.join(_columns(_FILES))} FROM documents))"
 BOOKMARKS_SQL = f"bookmarks AS (SELECT {', '.join(_columns(_BOOKMARKS))} FROM pages)"
 ITEMS_SQL = f"items AS (SELECT *, [type, brand] AS tags, [folder_a, folder_b] AS folders FROM (SELECT {', '.join(_columns(_ITEMS))} FROM part))"
+LEAVES_SQL = """leaves AS (SELECT CAST(c_custkey AS VARCHAR) AS leaf_id, concat('n', c_nationkey) AS node_id, c_name AS name,
+    CASE WHEN c_acctbal >= 0 THEN concat('https://c/', c_custkey) END AS url, c_mktsegment AS segment, c_acctbal AS balance FROM customer)"""
+VIDEO_SQL = "CASE WHEN contains(url, 'youtube.com/watch') AND contains(url, 'v=') THEN split_part(split_part(url, 'v=', 2), '&', 1) WHEN contains(url, 'youtu.be/') THEN split_part(split_part(url, 'youtu.be/', 2), '?', 1) END"
+NODES_SQL = f"""{BOOKMARKS_SQL}, own AS (SELECT *, id % 25 AS nk, coalesce({VIDEO_SQL}, '') <> '' AS video FROM bookmarks),
+    placed AS (SELECT own.*, n_name, row_number() OVER (PARTITION BY nk, video ORDER BY id) AS n FROM own JOIN nation ON nk = n_nationkey),
+    nodes AS (SELECT DISTINCT concat('n', nk) AS id, CAST(NULL AS VARCHAR) AS parent_id, 'bookmark_bar' AS root, n_name AS name, 'folder' AS type, CAST(NULL AS VARCHAR) AS url, '0' AS pos, n_name AS labels FROM placed
+        UNION ALL SELECT DISTINCT concat('n', nk, '-v'), concat('n', nk), 'bookmark_bar', 'Videos', 'folder', NULL, '0/0', concat(n_name, ' / Videos') FROM placed
+        UNION ALL SELECT concat('p', id), concat('n', nk, CASE WHEN video THEN '-v' ELSE '' END), 'bookmark_bar', title, 'url', url, CASE WHEN video THEN concat('0/0/', n - 1) ELSE concat('0/', n) END,
+            concat(n_name, CASE WHEN video THEN ' / Videos' ELSE '' END, ' / ', title) FROM placed)"""
 STREAM_SQL = "stream_items AS (SELECT event_id AS id, concat('item ', event_id % 97) AS name, event_type AS media_type, ts AS created, value AS rating FROM events)"
 EDGES_SQL = """edges AS (
     SELECT concat('r', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name, CAST(r_regionkey AS BIGINT) AS pos FROM region

@@ -11,8 +11,8 @@ from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.operators import catalog, listing, recommend, thumbs, trees
 from tessera.plans import entities as E
+from tessera.sources import assets, focus
 from tessera.sources import bookmarks as bookmark_files
-from tessera.sources import focus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,32 +190,29 @@ def directory_listing(spark, sf_dir):
     return listing.directory_listing(E.files(spark, sf_dir), F.lit("src3"))
 
 
-_CATALOG = "SELECT o_orderkey AS item_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0"
-
-
 @query(
-    f"""WITH known AS ({_CATALOG}), seen AS (SELECT o_orderkey AS item_id, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
-        SELECT o_orderkey, o_custkey + 1, 'again' FROM orders WHERE o_orderkey % 4 = 0),
+    """WITH known AS (SELECT o_orderkey AS item_id FROM orders WHERE o_orderstatus <> 'O'), seen AS (SELECT o_orderkey AS item_id, o_custkey, o_orderpriority FROM orders UNION ALL
+        SELECT o_orderkey, o_custkey + 1, 'again' FROM orders WHERE o_orderpriority = '1-URGENT'),
     fresh AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o_custkey) AS n FROM seen) s WHERE n = 1 AND item_id NOT IN (SELECT item_id FROM known))
     SELECT item_id, o_custkey, o_orderpriority, (SELECT count(*) FROM seen) AS seen, (SELECT count(*) FROM fresh) AS inserted,
     (SELECT count(*) FROM seen) - (SELECT count(*) FROM fresh) AS skipped FROM fresh"""
 )
 def insert_if_absent(spark, sf_dir):
     orders = E.read(spark, sf_dir, "orders").withColumn("item_id", col("o_orderkey"))
-    known = orders.where("o_orderkey % 3 <> 0").select("item_id")
-    one = orders.where("o_orderkey % 2 = 0").select("item_id", "o_custkey", "o_orderpriority")
-    again = orders.where("o_orderkey % 4 = 0").select("item_id", (col("o_custkey") + 1).alias("o_custkey"), F.lit("again").alias("o_orderpriority"))
+    known = orders.where("o_orderstatus <> 'O'").select("item_id")
+    one = orders.select("item_id", "o_custkey", "o_orderpriority")
+    again = orders.where("o_orderpriority = '1-URGENT'").select("item_id", (col("o_custkey") + 1).alias("o_custkey"), F.lit("again").alias("o_orderpriority"))
     fresh, counts = catalog.insert_if_absent(known, one.unionByName(again), order=("o_custkey",))
     return fresh.withColumns({c: counts.select(c).scalar() for c in counts.columns})
 
 
 @query(
-    """SELECT o_orderkey AS item_id, concat('/lib', o_orderkey % 2) AS library_root FROM orders
-    WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 = 0)"""
+    """SELECT o_orderkey AS item_id, concat('/', o_orderstatus) AS library_root FROM orders
+    WHERE NOT (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')"""
 )
 def delete_vanished(spark, sf_dir):
-    known = E.read(spark, sf_dir, "orders").select(col("o_orderkey").alias("item_id"), F.concat(F.lit("/lib"), (col("o_orderkey") % 2).cast("string")).alias("library_root"))
-    return catalog.delete_vanished(known, known.where("item_id % 5 <> 0"), "/lib0")
+    known = E.read(spark, sf_dir, "orders").select(col("o_orderkey").alias("item_id"), F.concat(F.lit("/"), "o_orderstatus").alias("library_root"), "o_orderpriority")
+    return catalog.delete_vanished(known, known.where("o_orderpriority <> '5-LOW'"), "/O").drop("o_orderpriority")
 
 
 @query(
@@ -301,7 +298,11 @@ def badge_labels(spark, sf_dir):
     return E.files(spark, sf_dir).select("doc_id", S.badge(S.item_type(col("is_dir"), ext), ext).alias("badge"))
 
 
-@query(None)
+@query(
+    f"""WITH {E.FILES_SQL}, u AS (SELECT *, concat('/serve_image/', replace({_quoted('relative_path')}, '%3A', ':')) AS url, {_ext('name')} AS e FROM files)
+    SELECT CAST(CASE WHEN e IS NULL THEN json_object('doc_id', doc_id, 'name', name, 'url', url, 'path', url)
+        ELSE json_object('doc_id', doc_id, 'name', name, 'url', url, 'ext', e, 'path', url) END AS VARCHAR) AS json FROM u"""
+)
 def null_dropping_json(spark, sf_dir):
     ext = S.extension(col("name"))
     rows = E.files(spark, sf_dir).select("doc_id", "name", S.file_route(col("relative_path"), F.lit("external")).alias("url"), ext.alias("ext"), F.lit(None).cast("string").alias("description"))
@@ -339,8 +340,9 @@ def keyword_search(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT s_suppkey AS item, unnest([concat('n', s_nationkey), concat(' n', s_nationkey % 5), 'gone', concat('n', s_nationkey), '']) AS raw FROM supplier)
-    SELECT DISTINCT item, trim(raw) AS folder_id, coalesce(n_name, trim(raw)) AS folder_name FROM f LEFT JOIN nation ON trim(raw) = concat('n', n_nationkey) WHERE trim(raw) <> ''"""
+    """WITH f AS (SELECT s_suppkey AS item, unnest([concat('n', s_nationkey), concat(' n', s_nationkey % 5), 'gone', concat('n', s_nationkey), '']) AS raw, unnest([1, 2, 3, 4, 5]) AS k FROM supplier)
+    SELECT item, folder_id, folder_name, CAST(row_number() OVER (PARTITION BY item ORDER BY lower(folder_name), k) AS INTEGER) AS rank
+    FROM (SELECT item, trim(raw) AS folder_id, coalesce(n_name, trim(raw)) AS folder_name, min(k) AS k FROM f LEFT JOIN nation ON trim(raw) = concat('n', n_nationkey) WHERE trim(raw) <> '' GROUP BY ALL)"""
 )
 def folder_links(spark, sf_dir):
     own = F.concat(F.lit("n"), col("s_nationkey").cast("string"))
@@ -395,7 +397,7 @@ def _mode():
     return F.struct(*[(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v))).alias(k) for k, v in _MODE.items()])
 
 
-_FOCUS_SQL = """f AS (SELECT doc_id, source, lower(concat(substring(text, 1, 60), ' ', lang, ' / ', source)) AS blob, lower(concat(lang, ' / ', source)) AS path,
+_FOCUS_SQL = """f AS (SELECT doc_id, source, lower(concat(text, ' ', lang, ' / ', source)) AS blob, lower(concat(lang, ' / ', source)) AS path,
     concat('https://', source, '.example/', doc_id) AS url FROM documents),
     h AS (SELECT *, NOT contains(url, '/13') AND NOT contains(blob, 'worthless') AND (contains(blob, 'that') OR contains(blob, 'und ') OR contains(path, 'fr') OR contains(url, 'src7.')) AS matched FROM f)"""
 
@@ -407,30 +409,47 @@ def focus_match(spark, sf_dir):
     return E.read(spark, sf_dir, "documents").select("doc_id", hit.alias("matched"))
 
 
+_HIT = "segment = 'BUILDING' AND balance > 5000"
+
+
 @query(
-    f"""WITH RECURSIVE {E.FLAT_SQL}, leaves AS (SELECT concat('n', c_nationkey) AS node, c_mktsegment = 'BUILDING' AS m FROM customer),
-    up AS (SELECT unnest(id_path) AS a, m FROM leaves JOIN flat ON id = node)
+    f"""WITH RECURSIVE {E.FLAT_SQL}, {E.LEAVES_SQL}, up AS (SELECT unnest(id_path) AS a, segment = 'BUILDING' AS m FROM leaves JOIN flat ON id = node_id WHERE url IS NOT NULL)
     SELECT flat.id, coalesce(t, 0) AS total, coalesce(s, 0) AS matched FROM flat LEFT JOIN (SELECT a, count(*) AS t, count(*) FILTER (WHERE m) AS s FROM up GROUP BY a) ON a = flat.id"""
 )
 def focus_rollup(spark, sf_dir):
-    leaves = E.read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), col("c_nationkey").cast("string")).alias("node_id"), "c_mktsegment")
-    return trees.rollup(trees.flatten(E.edges(spark, sf_dir)), leaves, col("c_mktsegment") == "BUILDING")
+    nodes = E.leaves(spark, sf_dir).select(col("leaf_id").alias("id"), col("node_id").alias("parent_id"), F.lit("url").alias("type"), "name", "url", F.array("segment", "name").alias("labels"), F.lit(0).alias("pos"))
+    return trees.rollup(trees.flatten(E.edges(spark, sf_dir)), trees.bookmark_leaves(nodes), col("labels")[0] == "BUILDING")
 
 
 @query(
-    f"""WITH RECURSIVE {E.FLAT_SQL}, leaves AS (SELECT c_custkey, concat('n', c_nationkey) AS node, c_name, c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AS m,
-        CASE WHEN c_custkey % 3 > 0 THEN concat('https://c/', c_custkey) END AS url FROM customer),
-    up AS (SELECT id_path AS ids, m FROM leaves JOIN flat ON id = node)
+    f"""WITH RECURSIVE {E.FLAT_SQL}, {E.LEAVES_SQL}, up AS (SELECT id_path AS ids, {_HIT} AS m FROM leaves JOIN flat ON id = node_id WHERE url IS NOT NULL)
     SELECT n.id, n.name, 'folder' AS media_type, count(*) FILTER (WHERE m) AS n, 0 AS rank FROM flat n JOIN up ON list_contains(ids, n.id) WHERE n.parent_id = 'r2' GROUP BY n.id, n.name
-    HAVING count(*) FILTER (WHERE m) > 0"""
+    HAVING count(*) FILTER (WHERE m) > 0 UNION ALL SELECT leaf_id, name, 'bookmark', 1, 1 FROM leaves WHERE node_id = 'r2' AND url IS NOT NULL AND {_HIT}"""
 )
 def focus_folder(spark, sf_dir):
-    leaves = E.read(spark, sf_dir, "customer").select(
-        col("c_custkey").cast("string").alias("leaf_id"), F.concat(F.lit("n"), col("c_nationkey").cast("string")).alias("node_id"), col("c_name").alias("name"),
-        F.when(col("c_custkey") % 3 > 0, F.concat(F.lit("https://c/"), col("c_custkey").cast("string"))).alias("url"),
-        ((col("c_mktsegment") == "BUILDING") & (col("c_acctbal") > 9000)).alias("hit"),
-    )
-    return trees.folder_view(trees.flatten(E.edges(spark, sf_dir)), leaves, "r2", col("hit"))
+    return trees.folder_view(trees.flatten(E.edges(spark, sf_dir)), E.leaves(spark, sf_dir), "r2", F.expr(_HIT))
+
+
+@query(
+    f"""WITH {E.LEAVES_SQL}, own AS (SELECT n_nationkey, (SELECT count(*) FROM leaves WHERE node_id = concat('n', n_nationkey) AND url IS NOT NULL) AS total_bookmarks,
+        (SELECT count(*) FROM leaves WHERE node_id = concat('n', n_nationkey) AND url IS NOT NULL AND {_HIT}) AS matched_bookmarks FROM nation WHERE n_nationkey = 7)
+    SELECT total_bookmarks, matched_bookmarks, matched_bookmarks AS matched_including_subfolders, matched_bookmarks > 0 AS has_results,
+        concat('🎯 Big 專注模式｜本層 ', matched_bookmarks, ' / ', total_bookmarks, ' 筆，含子層 ', matched_bookmarks, ' 筆', CASE WHEN matched_bookmarks = 0 THEN '，目前沒有符合的書籤' ELSE '' END) AS description,
+        concat(matched_bookmarks, ' 個專注書籤') AS shown FROM own
+    UNION ALL SELECT 0, 0, m, false, concat('🎯 Big 專注模式｜本層 0 / 0 筆，含子層 ', m, ' 筆，目前沒有符合的書籤'), concat(m, ' 個專注書籤')
+        FROM (SELECT count(*) AS m FROM leaves JOIN nation ON node_id = concat('n', n_nationkey) WHERE n_regionkey = 2 AND url IS NOT NULL AND {_HIT})"""
+)
+def focus_stats(spark, sf_dir):
+    flat, leaves = trees.flatten(E.edges(spark, sf_dir)), E.leaves(spark, sf_dir)
+    one, two = (trees.focus_stats(flat, leaves, key, F.expr(_HIT), "Big") for key in ("n7", "r2"))
+    return one.unionByName(two).withColumn("shown", S.focus_count(col("matched_including_subfolders")))
+
+
+@query(
+    f"""WITH RECURSIVE {E.FLAT_SQL} SELECT id, name, depth FROM flat WHERE id_path = ['r1', 'n1']"""
+)
+def resolve_node(spark, sf_dir):
+    return trees.resolve(trees.flatten(E.edges(spark, sf_dir)), ["r1", "n1"], ~col("id").startswith("s")).select("id", "name", "depth")
 
 
 _CONFIG = """{"default_mode": "DEV ", "modes": [{"id": "Dev", "label": "Development", "keywords": [" Spark ", "", 3], "folders": ["dev"]}, {"id": "dev"}, {"id": " "}, 7,
@@ -455,25 +474,29 @@ BOOKMARK_FILE = """{"roots": {"bookmark_bar": {"id": "1", "name": "Bar", "type":
     "other": {"id": "2", "name": "Other", "type": "folder", "children": []}}}"""
 
 
-@query(None)
+def _bookmark_nodes(spark, sf_dir):
+    return bookmark_files.nodes_of(E.bookmark_files(spark, sf_dir).select(F.parse_json("value").alias("tree")))
+
+
+@query(f"WITH {E.NODES_SQL} SELECT * FROM nodes")
 def bookmark_tree(spark, sf_dir):
-    tree = spark.createDataFrame([(BOOKMARK_FILE,)], "value string").select(F.parse_json("value").alias("tree"))
-    return bookmark_files.nodes_of(tree).select("id", "parent_id", "root", "name", "type", "url", F.array_join(col("pos").cast("array<string>"), "/").alias("pos"), S.join_labels(col("labels")).alias("labels"))
+    nodes = _bookmark_nodes(spark, sf_dir)
+    return nodes.select("id", "parent_id", "root", "name", "type", "url", F.array_join(col("pos").cast("array<string>"), "/").alias("pos"), S.join_labels(col("labels")).alias("labels"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('6', 'Spark talk', 'abc', 'https://img.youtube.com/vi/abc/hqdefault.jpg', 'Bar / Dev'),
-    ('9', 'https://www.youtube.com/watch?v=zz&b=1', 'zz', 'https://img.youtube.com/vi/zz/hqdefault.jpg', 'Bar')) AS t(id, name, video_id, thumbnail_route, path_display)"""
+    f"""WITH {E.NODES_SQL} SELECT concat('p', id) AS id, title AS name, {E.VIDEO_SQL} AS video_id, concat('https://img.youtube.com/vi/', {E.VIDEO_SQL}, '/hqdefault.jpg') AS thumbnail_route,
+    concat(n_name, ' / Videos') AS path_display FROM placed WHERE video"""
 )
 def youtube_walk(spark, sf_dir):
-    tree = spark.createDataFrame([(BOOKMARK_FILE,)], "value string").select(F.parse_json("value").alias("tree"))
-    return trees.youtube_walk(bookmark_files.nodes_of(tree)).select("id", "name", "video_id", "thumbnail_route", "path_display")
+    return trees.youtube_walk(_bookmark_nodes(spark, sf_dir)).select("id", "name", "video_id", "thumbnail_route", "path_display")
 
 
 # URLs
 
 
-_VIDEO = "CASE WHEN contains(url, 'youtube.com/watch') AND contains(url, 'v=') THEN split_part(split_part(url, 'v=', 2), '&', 1) WHEN contains(url, 'youtu.be/') THEN split_part(split_part(url, 'youtu.be/', 2), '?', 1) END"
+_VIDEO = E.VIDEO_SQL
+_OG = """nullif(regexp_extract(html, '(?i)<meta[^>]+property=[\'\'"]og:image[\'\'"][^>]*content=[\'\'"]([^\'\'"]+)', 1), \'\')"""
 
 
 @query(f"WITH {E.BOOKMARKS_SQL} SELECT id, {_VIDEO} AS video_id, CASE WHEN {_VIDEO} <> '' THEN concat('https://img.youtube.com/vi/', {_VIDEO}, '/hqdefault.jpg') END AS thumbnail FROM bookmarks")
@@ -491,13 +514,13 @@ def special_domain(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E.BOOKMARKS_SQL} SELECT id, nullif(regexp_extract(html, '(?i)<meta[^>]+property=[''"]og:image[''"][^>]*content=[''"]([^''"]+)', 1), '') AS image FROM bookmarks"""
+    f"WITH {E.BOOKMARKS_SQL} SELECT id, {_OG} AS image FROM bookmarks"
 )
 def og_image(spark, sf_dir):
     return E.bookmarks(spark, sf_dir).select("id", S.og_image(col("html")).alias("image"))
 
 
-@query(None)
+@query(f"WITH {E.BOOKMARKS_SQL} SELECT id, replace({_OG}, '&amp;', '&') AS image FROM bookmarks")
 def og_image_unescape(spark, sf_dir):
     return E.bookmarks(spark, sf_dir).select("id", S.html_unescape(S.og_image(col("html"))).alias("image"))
 
@@ -516,16 +539,27 @@ def thumb_ext(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E.BOOKMARKS_SQL}, k AS (SELECT *, sha1(concat('bookmark|', url)) AS media_id, {_VIDEO} AS video FROM bookmarks),
-    held AS (SELECT DISTINCT sha1(concat('bookmark|', url)) AS held_id FROM bookmarks WHERE id % 10 IN (0, 3))
+    f"""WITH {E.BOOKMARKS_SQL}, k AS (SELECT *, sha1(concat('bookmark|', url)) AS media_id, {_VIDEO} AS video, contains(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'example.org') AS special,
+        replace({_OG}, '&amp;', '&') AS og FROM bookmarks),
+    held AS (SELECT DISTINCT sha1(concat('bookmark|', url)) AS held_id FROM bookmarks WHERE contains(title, '7'))
     SELECT id, media_id, CASE WHEN held_id IS NOT NULL THEN concat('/thumbs/', media_id, '.jpg') WHEN video <> '' THEN concat('https://img.youtube.com/vi/', video, '/hqdefault.jpg')
-        ELSE '/static/default_thumbnail.svg' END AS thumbnail_route, CASE WHEN video <> '' THEN 'youtube' END AS sub_type FROM k LEFT JOIN held ON media_id = held_id"""
+        WHEN special AND og IS NOT NULL THEN og ELSE '/static/default_thumbnail.svg' END AS thumbnail_route,
+        CASE WHEN video <> '' THEN 'youtube' WHEN special AND og IS NOT NULL THEN 'special' END AS sub_type FROM k LEFT JOIN held ON media_id = held_id"""
 )
 def bookmark_thumbs(spark, sf_dir):
     rows = E.bookmarks(spark, sf_dir)
     key = S.media_id(F.lit("bookmark"), col("url"), col("title"))
-    held = rows.where("id % 10 IN (0, 3)").select(key.alias("media_id")).distinct().withColumn("local_path", F.concat(F.lit("/thumbs/"), "media_id", F.lit(".jpg")))
-    return thumbs.bookmark_thumbnails(rows, held)
+    held = rows.where(col("title").contains("7")).select(key.alias("media_id")).distinct().withColumn("local_path", F.concat(F.lit("/thumbs/"), "media_id", F.lit(".jpg")))
+    return thumbs.bookmark_thumbnails(rows, held, ("example.org",))
+
+
+@query(
+    f"""WITH {E.BOOKMARKS_SQL} SELECT sha1(concat('bookmark|', url)) AS id, 'bookmark' AS source, url AS original_url, title, 'bookmark' AS media_type,
+    CASE WHEN {_VIDEO} <> '' THEN 'youtube' END AS sub_type, concat('{{"folder_path":"Bar / ', title, '"}}') AS extra, id AS updated_at FROM bookmarks"""
+)
+def media_register(spark, sf_dir):
+    rows = E.bookmarks(spark, sf_dir).withColumn("folder_path", F.concat(F.lit("Bar / "), "title"))
+    return thumbs.registered(rows, col("id"))
 
 
 @query(
@@ -538,6 +572,14 @@ def root_guard(spark, sf_dir):
     return E.bookmarks(spark, sf_dir).select("id", P.within_roots(path, ["/lib/youtu.be"]).alias("inside"), P.safe_path(rel).alias("safe"))
 
 
+@query(
+    """SELECT event_id, CASE WHEN value >= 50 THEN CAST(event_id AS BIGINT) WHEN value >= 25 THEN -CAST(event_id AS BIGINT) END AS number FROM events"""
+)
+def int_parse(spark, sf_dir):
+    text = F.when(col("value") >= 50, F.concat(F.lit(" +"), col("event_id").cast("string"), F.lit("\n"))).when(col("value") >= 25, F.concat(F.lit("-"), col("event_id").cast("string"))).otherwise("1x")
+    return E.read(spark, sf_dir, "events").select("event_id", S.int_or_null(text).alias("number"))
+
+
 # recommendations
 
 
@@ -597,3 +639,81 @@ def sample_feed(spark, sf_dir):
 )
 def format_items(spark, sf_dir):
     return listing.format_items(E.items(spark, sf_dir), "/library").select("id", "name", "url", "thumbnail_route", "media_type", "ext")
+
+
+# details, entries, writes
+
+
+@query(
+    """SELECT o_orderkey AS id, nullif(trim(CASE o_orderstatus WHEN 'O' THEN concat(' ', o_orderpriority, ' ') WHEN 'F' THEN o_orderpriority ELSE 'title' END), '') AS name,
+    CASE WHEN o_orderstatus = 'O' THEN nullif(CAST(o_custkey AS BIGINT), 0) WHEN o_orderstatus = 'F' THEN 0 END AS count FROM orders"""
+)
+def tag_entries(spark, sf_dir):
+    none, is_ = F.lit(None).cast("string"), lambda s: col("o_orderstatus") == s
+    entry = F.struct(
+        F.when(is_("O"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).otherwise("").alias("name"), F.when(is_("F"), col("o_orderpriority")).alias("tag"), F.lit("title").alias("title"),
+        F.when(~is_("F"), "0").alias("count"), F.when(is_("O"), col("o_custkey").cast("string")).alias("itemCount"), none.alias("itemsCount"), F.when(is_("F"), "0").when(is_("O"), none).otherwise("x").alias("childCount"),
+    )
+    name, count = listing.coalesce_tag(col("entry"))
+    return E.read(spark, sf_dir, "orders").withColumn("entry", entry).select(col("o_orderkey").alias("id"), name.alias("name"), count.alias("count"))
+
+
+_ASSET = """concat('/l/images/', id, '.info/', name, '{0}')"""
+
+
+def _asset_sql(kind: str, own: str) -> str:
+    return f"""SELECT id, name, {_ASSET.format('.')} || lower(ext) AS path, CASE WHEN size > 25 THEN '/serve_image/' || {_ASSET.format('_thumbnail.png')} ELSE {own} END AS thumbnail_route,
+        CASE lower(ext) WHEN 'mp4' THEN 'video/mp4' WHEN 'mov' THEN 'video/quicktime' WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, lower(ext) AS ext, array_to_string(tags, '|') AS tags
+        FROM items WHERE media_type = '{kind}'"""
+
+
+@query(f"""WITH {E.ITEMS_SQL} {_asset_sql('video', "'/static/default_video_thumbnail.svg'")} UNION ALL {_asset_sql('image', "'/serve_image/' || " + _ASSET.format('.') + " || lower(ext)")}""")
+def asset_details(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    items = E.items(spark, sf_dir).withColumns({"file_name": none, "website": none, "note": none})
+    at = F.concat(F.lit("/l/images/"), col("id").cast("string"), F.lit(".info/"), "name")
+    held = items.select(F.concat(at, F.lit("."), F.lower("ext")).alias("path")).union(items.where("size > 25").select(F.concat(at, F.lit("_thumbnail.png"))))
+    parts = [listing.asset_details(items, held, "/l", kind) for kind in ("video", "image")]
+    return parts[0].unionByName(parts[1]).select("id", "name", "path", "thumbnail_route", "mime_type", "ext", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {E.FILES_SQL} SELECT doc_id, {_FILE_KIND} AS media_type, true AS download FROM files WHERE NOT is_dir UNION ALL SELECT page_id, 'bookmark', false FROM pages")
+def viewer_rows(spark, sf_dir):
+    own = E.files(spark, sf_dir).select("doc_id", S.item_type(col("is_dir"), S.extension(col("name"))).alias("media_type"))
+    return listing.viewer_rows(own.unionByName(E.bookmarks(spark, sf_dir).select(col("id").alias("doc_id"), F.lit("bookmark").alias("media_type"))))
+
+
+@query(
+    f"""WITH {E.FILES_SQL}, m AS (SELECT library_root, dir, relative_path, {_FILE_KIND} AS media_type FROM files WHERE NOT is_dir AND name NOT LIKE '.%'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY library_root, dir ORDER BY sha1(concat('l|', relative_path)), relative_path) - 1 AS place, count(*) OVER (PARTITION BY library_root, dir) AS n
+        FROM m WHERE media_type IN ('image', 'video')),
+    s AS (SELECT a.library_root, a.relative_path, list_sort(list(b.relative_path)) AS l FROM r a JOIN r b ON a.library_root = b.library_root AND a.dir = b.dir
+        WHERE a.relative_path <> b.relative_path AND (b.place - a.place + a.n) % a.n BETWEEN 1 AND 6 GROUP BY ALL)
+    SELECT library_root, relative_path, array_to_string(l[1:5], '|') AS panel, CAST(len(l) AS INTEGER) AS shown FROM s"""
+)
+def similar_panel(spark, sf_dir):
+    similar = recommend.local_similar(E.files(spark, sf_dir), "l").groupBy("library_root", "relative_path").agg(F.array_sort(F.collect_list("similar")).alias("l"))
+    return similar.select("library_root", "relative_path", F.array_join(listing.panel(col("l")), "|").alias("panel"), F.size("l").alias("shown"))
+
+
+@query(
+    f"""WITH {E.ITEMS_SQL} SELECT id, CASE WHEN size > 40 THEN concat('renamed ', id) ELSE name END AS name, array_to_string(CASE WHEN size > 40 THEN ['new'] ELSE tags END, '|') AS tags FROM items
+    UNION ALL SELECT -id, brand, 'added' FROM items WHERE size <= 2"""
+)
+def asset_writes(spark, sf_dir):
+    items = E.items(spark, sf_dir).select("id", "name", "tags", "brand", "size")
+    named = items.where("size > 25").select("id", F.when(col("size") > 40, F.concat(F.lit("renamed "), col("id").cast("string"))).otherwise("").alias("name"), F.when(col("size") > 40, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    added = items.where("size <= 2").select((-col("id")).alias("id"), col("brand").alias("name"), F.array(F.lit("added")).alias("tags"))
+    return assets.add_items(assets.update_fields(items.select("id", "name", "tags"), named), added).select("id", "name", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent_id, n_name AS name FROM nation UNION ALL SELECT concat('r', r_regionkey), NULL, r_name FROM region UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier")
+def folder_writes(spark, sf_dir):
+    edges = E.edges(spark, sf_dir)
+    return assets.add_folders(edges.where("id LIKE 'r%' OR id LIKE 'n%'"), edges.where("id LIKE 's%' OR id LIKE 'n%'")).select("id", "parent_id", "name")
+
+
+@query(f"WITH {E.ITEMS_SQL} SELECT split_part(name, ' ', 1) || ' (' || count(*) || ')' AS title, count(*) AS size FROM items GROUP BY split_part(name, ' ', 1)")
+def cluster_titles(spark, sf_dir):
+    sizes = E.items(spark, sf_dir).groupBy(S.first_word(col("name")).alias("prefix")).agg(F.count(F.lit(1)).alias("size"))
+    return sizes.select(S.cluster_title(col("prefix"), col("size")).alias("title"), "size")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,9 +21,23 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in a single local JVM, where it names none, one of ours."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    return root.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the cluster names, or one of ours where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return df.checkpoint()
+    """df written to the shared folder and read back: planned and computed once.  The folder goes when the JVM ends."""
+    spark = df.sparkSession
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessera-tables-{spark.sparkContext.applicationId}")
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.mkdirs(home):
+        files.deleteOnExit(home)
+    path = f"{home}/{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

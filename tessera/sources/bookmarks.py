@@ -44,7 +44,7 @@ def nodes_of(trees: DataFrame, max_depth: int = 1000) -> DataFrame:
     """trees (tree VARIANT) -> nodes; see read_nodes."""
     roots = None
     for key in O.BOOKMARK_ROOTS:
-        title = key.replace("_", " ").title()
+        title = O.ROOT_LABELS.get(key, key)
         one = trees.select(F.lit(key).alias("root"), F.expr(f"variant_get(tree, '$.roots.{key}', 'variant')").alias("node"), F.lit(title).alias("title"))
         roots = one if roots is None else roots.unionByName(one)
     text = lambda path: F.expr(f"try_variant_get(node, '$.{path}', 'string')")
@@ -55,19 +55,19 @@ def nodes_of(trees: DataFrame, max_depth: int = 1000) -> DataFrame:
         "node", "id", F.lit(None).cast("string").alias("parent_id"), "root", "name", "type", "url", F.array(F.lit(0)).alias("pos"),
         F.array("id").alias("id_path"), F.array(F.coalesce(F.nullif("name", F.lit("")), "title")).alias("labels"),
     )
+    level = cut_lineage(level)
     out, depth = level.drop("node"), 0
     while depth < max_depth and not level.isEmpty():
         depth += 1
-        level.createOrReplaceTempView("_tessera_level")
         children = level.sparkSession.sql(
             "SELECT l.id AS up_id, l.root, l.pos AS up_pos, l.id_path AS up_ids, l.labels AS up_labels, c.pos AS child_pos, c.value AS node"
-            " FROM _tessera_level l, LATERAL variant_explode(variant_get(l.node, '$.children', 'variant')) AS c"
+            " FROM {level} l, LATERAL variant_explode(variant_get(l.node, '$.children', 'variant')) AS c",
+            level=level,
         )
         level = children.select("up_id", "root", "up_pos", "up_ids", "up_labels", "child_pos", "node", *fields).select(
             "node", "id", F.col("up_id").alias("parent_id"), "root", "name", "type", "url", F.concat("up_pos", F.array("child_pos")).alias("pos"),
             F.concat("up_ids", F.array("id")).alias("id_path"), F.concat("up_labels", F.array(label)).alias("labels"),
         )
-        if depth % 8 == 0:
-            level, out = cut_lineage(level), cut_lineage(out)
+        level = cut_lineage(level)
         out = out.unionByName(level.drop("node"))
     return out

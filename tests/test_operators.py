@@ -1,11 +1,15 @@
 """Catalog versions, trees, sources and streams on small fixtures."""
 
+import http.server
+import json
 import os
+import threading
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.errors import BookmarkError, BookmarkNotFound, FolderNotFound, MediaNotFound
+from tessera.errors import BookmarkError, BookmarkNotFound, ExternalServiceError, FeatureUnavailable, FolderNotFound, MediaNotFound
 from tessera.operators import catalog, listing, recommend, thumbs, trees
 from tessera.plans.queries import BOOKMARK_FILE
 from tessera.schemas import ITEMS, LISTING
@@ -228,3 +232,141 @@ def test_asset_details(spark):
     assert got["5"].path.endswith("other.mkv")
     image = listing.asset_details(items, files_, "/l", "image").collect()
     assert [(r.id, r.path) for r in image] == [("4", "/l/images/4.info/first.png")]
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    """A stub of the asset service with 23 items; keeps what it is asked."""
+
+    items = [{"id": f"i{k}", "name": f"n{k}", "ext": "png", "btime": 1700000000000 + k, "lastModified": "2024-01-02T03:04:05", "tags": ["t"]} for k in range(23)]
+    asked: list = []
+
+    def do_GET(self):  # noqa: N802
+        path, _, query = self.path.partition("?")
+        named = dict(urllib.parse.parse_qsl(query))
+        self.asked.append((path, named))
+        data = {
+            "/api/item/list": lambda: self.items[int(named["offset"]) : int(named["offset"]) + int(named["limit"])],
+            "/api/folder/list": lambda: [{"id": "a", "name": "A", "children": [{"id": "b", "name": "B"}]}], "/api/folder/listRecent": lambda: [{"id": "b", "name": "B"}],
+            "/api/tag/list": lambda: ["x"], "/api/application/info": lambda: {"version": "1"}, "/api/library/info": lambda: {"library": {"path": "/lib"}, "folders": []},
+            "/api/item/info": lambda: self.items[3] if "id" in named else None,
+        }.get(path, lambda: None)()
+        self.answer({"status": "success", "data": data} if data is not None else {"status": "error", "data": "unknown"})
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.asked.append((self.path, body))
+        self.answer({"status": "success", "data": body})
+
+    def answer(self, body):
+        data = json.dumps(body).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def service():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_connector_reads_all_pages(spark, service):
+    rows = assets.read_items(spark, service, limit="5", orderby="CREATEDATE").orderBy("pos").collect()
+    assert [r.id for r in rows] == [f"i{k}" for k in range(23)] and [r.pos for r in rows] == list(range(23))
+    assert rows[0].modified.year == 2024 and rows[1].created > rows[0].created
+    assert {int(q["offset"]) for p, q in Service.asked if q.get("limit") == "5"} == {0, 5, 10, 15, 20}
+    assert all(q["orderBy"] == "CREATEDATE" for p, q in Service.asked if p == "/api/item/list")
+    assert assets.read_items(spark, service, limit="5", pages="2").count() == 10
+    reader = assets.ItemReader({"base": service, "limit": "23"})
+    assert len(list(reader.read(reader.partitions()[0]))) == len(list(reader.read(reader.partitions()[0]))) == 23
+
+
+def test_service_calls(spark, service):
+    assert assets.folder_table(spark, service).count() == 2 and assets.folder_list(service, recent=True)[0]["id"] == "b"
+    assert assets.top_folders(assets.folder_list(service)) == [("a", "A", "/assets/folder/a/")]
+    assert assets.tag_list(service) == ["x"] and assets.application_info(service)["version"] == "1" and assets.library_path(service) == "/lib"
+    assert assets.item_info(service, "i3")["name"] == "n3"
+    assert [q for p, q in Service.asked if p == "/api/item/info"] == [{"itemId": "i3"}, {"id": "i3"}]
+    assert assets.create_folder(service, "new") == {"folderName": "new"}
+    assert assets.rename_folder(service, "a", "z") == {"folderId": "a", "newName": "z"}
+    assert assets.update_folder(service, "a", description="d", color="") == {"folderId": "a", "newDescription": "d"}
+    assert assets.add_from_url(service, "u", "a", tags=["t"]) == {"url": "u", "folderId": "a", "tags": ["t"]}
+    assert assets.add_from_urls(service, [{"url": "u"}])["items"] == [{"url": "u"}]
+    assert assets.add_bookmark(service, "u", "n") == {"url": "u", "name": "n"} and assets.update_item_tags(service, "i", ["t"])["tags"] == ["t"]
+    with pytest.raises(ExternalServiceError):
+        assets.data_of(assets.request(service, "/api/none"))
+    with pytest.raises(ExternalServiceError):
+        assets.library_path("http://127.0.0.1:9")
+
+
+def test_feature_gate():
+    up = {"x": False}
+    gate = assets.Availability({"x": lambda: up["x"]}, 0)
+    page = assets.needs("x", gate)(lambda n: n + 1)
+    with pytest.raises(FeatureUnavailable):
+        page(1)
+    up["x"] = True
+    assert page(1) == 2
+
+
+def test_focus_file_is_created(spark, tmp_path):
+    path = tmp_path / "conf" / "modes.json"
+    modes, default = focus.load(spark, f"file://{path}")
+    assert default == "all" and [r.id for r in modes.collect()] == ["all"]
+    assert json.loads(path.read_text(encoding="utf-8"))["modes"][0]["label"] == "全部書籤"
+    path.write_text('{"default_mode": "\\u3000DEV\\t", "modes": [{"id": "dev"}]}', encoding="utf-8")
+    assert focus.load(spark, f"file://{path}")[1] == "dev"
+    path.write_text("{bad", encoding="utf-8")
+    assert focus.load(spark, f"file://{path}")[1] == "all" and path.read_text() == "{bad"
+
+
+def test_roots_without_names_and_paths_through_leaves(spark, tmp_path):
+    text = '{"roots": {"bookmark_bar": {"id": "1", "type": "folder", "children": [{"id": "3", "type": "url", "name": "u", "url": "http://u"}]}, "other": {"id": "2", "type": "folder"}}}'
+    flat = nodes(spark, tmp_path, text)
+    assert {r.id: r.labels[0] for r in flat.collect()} == {"1": "Bookmarks", "3": "Bookmarks", "2": "other"}
+    folder = F.col("type") == "folder"
+    assert trees.resolve(flat, ["1"], folder).count() == 1
+    with pytest.raises(BookmarkNotFound):
+        trees.resolve(flat, ["1", "3"], folder)
+
+
+def test_focus_stats_of_a_folder(spark, tmp_path):
+    flat = nodes(spark, tmp_path)
+    leaves = trees.bookmark_leaves(flat)
+    assert leaves.where("leaf_id = '10'").count() == 0  # no URL
+    row = trees.focus_stats(flat.where("type = 'folder'"), leaves, "1", F.col("name").contains("Deep"), "Dev").first()
+    assert (row.total_bookmarks, row.matched_bookmarks, row.matched_including_subfolders, row.has_results) == (1, 0, 1, False)
+    assert row.description == "🎯 Dev 專注模式｜本層 0 / 1 筆，含子層 1 筆，目前沒有符合的書籤"
+
+
+def test_thumbnails_are_stored(spark, tmp_path):
+    rows = [("a", b"png", "image/png", "u", "youtube"), ("b", b"x", None, "http://h/p.WEBP?x", "bookmark"), ("c", None, None, "u", "bookmark"), ("d", b"", None, "u", "bookmark")]
+    frame = spark.createDataFrame(rows, "media_id string, bytes binary, content_type string, url string, source string")
+    got = {r.media_id: r.local_path for r in thumbs.store_thumbnails(frame, f"file://{tmp_path}/t").collect()}
+    assert got == {"a": f"file://{tmp_path}/t/a.png", "b": f"file://{tmp_path}/t/b.webp"}
+    assert (tmp_path / "t" / "a.png").read_bytes() == b"png"
+
+
+def test_numbers_of_requests():
+    from tessera.functions.scalars import parse_int
+
+    assert parse_int(None, 30) == 30 and parse_int(" 7 ", 30) == 7
+    with pytest.raises(ValueError):
+        parse_int("x", 1)
+
+
+def test_a_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    from tessera import session
+
+    class Named:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Named)

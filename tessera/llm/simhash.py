@@ -4,9 +4,11 @@ Two fingerprints within a radius r agree on at least one of r + 1 bit blocks,
 so each block's value deals the distinct fingerprints into shards, and a BK-tree
 in each shard finds the links.  A shard with too many fingerprints is dealt
 again by blocks of its remaining bits, until so few bits are free that their
-number bounds it.  Shard trees are built where their shard is, as the
-fingerprints of all documents have no bound that a broadcast would need.  A
-shard reports a spanning forest of its links, never all pairs, and connected
+number bounds it.  Shard trees are built by the tasks that hold the shards and
+broadcast where all of them together have a checked number of nodes; probes then
+need no shuffle.  Beyond it, as the fingerprints of all documents have no bound,
+each tree is probed in the task that built it, with the same links.  A task
+reports a spanning forest of its links, never all pairs, and connected
 components join the groups.
 """
 
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.shared import ascii_words, stash
+from tessera.llm.shared import ascii_words, ship, shipped, stash
 
 #: Distinct fingerprints of a shard; a larger one is dealt anew.
 SHARD_LIMIT = 1024
+#: Nodes of all shard trees together, up to which they are broadcast: 13 bytes each.
+BROADCAST_NODES = 1 << 20
 _SEED = 42
 
 
@@ -65,6 +69,24 @@ class BkTree:
         while at != new:
             at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
 
+    def packed(self) -> bytes:
+        """Values, then each node's parent and the edge it hangs on."""
+        parent, edge = np.zeros(len(self.values), "<i4"), np.zeros(len(self.values), "u1")
+        for at, children in enumerate(self.children):
+            for e, c in children.items():
+                parent[c], edge[c] = at, e
+        return np.array(self.values, "<u8").tobytes() + parent.tobytes() + edge.tobytes()
+
+    @staticmethod
+    def unpacked(blob: bytes) -> BkTree:
+        tree, n = BkTree(), len(blob) // 13
+        tree.values = np.frombuffer(blob, "<u8", n).tolist()
+        tree.children = [{} for _ in range(n)]
+        for k, (at, e) in enumerate(zip(np.frombuffer(blob, "<i4", n, 8 * n).tolist(), np.frombuffer(blob, "u1", n, 12 * n).tolist())):
+            if k:
+                tree.children[at][e] = k
+        return tree
+
     def within(self, value: int, radius: int) -> list[int]:
         """Positions, in order of adding, of the values within radius; only edges within it are followed."""
         found, todo = [], [0] if self.values else []
@@ -81,26 +103,33 @@ class BkTree:
         return found
 
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Pairs within radius that join the linked values of one shard, each pair joining two groups; values are distinct."""
-    values = sorted(values)
-    tree, parent = BkTree(), list(range(len(values)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    out = []
-    for k, value in enumerate(values):
-        for other in tree.within(value, radius):
-            a, b = root(k), root(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((value, values[other]))
+class Forest:
+    """Joins values, and keeps the joins that were needed."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+
+def shard_tree(values: list[int]) -> BkTree:
+    """The tree of one shard's distinct values, added in their order."""
+    tree = BkTree()
+    for value in sorted(values):
         tree.add(value)
-    return out
+    return tree
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,28 +180,63 @@ def shards(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> DataFram
         todo = dealt.where(F.col("n") > limit).drop("n")
 
 
-def links(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[int]]]:
+    """Shards (mask, value), fingerprints of rows in order of shard."""
+    key, group = None, []
+    for b in batches:
+        for mask, value, print_ in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("mask", "value", "fingerprint"))):
+            if (mask, value) != key:
+                if group:
+                    yield key, group
+                key, group = (mask, value), []
+            group.append(print_ & _ALL)
+    if group:
+        yield key, group
+
+
+def links(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """prints (fingerprint), distinct -> edges (a, b) that join all fingerprints linked within radius."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
+    def probed(tree: BkTree, values: list[int], forest: Forest) -> None:
+        for value in values:
+            for at in tree.within(value, radius):
+                if tree.values[at] != value:
+                    forest.join(value, tree.values[at])
+
+    def edges(forest: Forest) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in forest.edges], np.uint64).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mask, value), group in _shards_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([mask], pa.int64()), pa.array([value], pa.int64()), pa.array([shard_tree(group).packed()], pa.binary())], ["mask", "value", "tree"])
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _shards_of(batches):
+            probed(shard_tree(group), group, forest := Forest())
+            if forest.edges:
+                yield edges(forest)
+
+    dealt = stash(shards(prints, radius, limit), "shards")
+    by_shard = dealt.repartition("mask", "value").sortWithinPartitions("mask", "value")
+    if dealt.count() > broadcast_nodes:
+        return by_shard.mapInArrow(in_place, "a long, b long").distinct()
+    # broadcast_nodes nodes at most
+    built = by_shard.mapInArrow(build, "mask long, value long, tree binary").collect()
+    held = ship(prints.sparkSession, {(r.mask, r.value): bytes(r.tree) for r in built})
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, forest = shipped(held), Forest()
         for b in batches:
             for mask, value, print_ in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("mask", "value", "fingerprint"))):
-                if (mask, value) != key:
-                    out += shard_links(group, radius) if len(group) > 1 else []
-                    key, group = (mask, value), []
-                group.append(print_ & _ALL)
-            if len(out) > 10_000:
-                yield edges(out)
-                out = []
-        out += shard_links(group, radius) if len(group) > 1 else []
-        yield edges(out)
-
-    def edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64)) for k in (0, 1)], ["a", "b"])
-
-    dealt = shards(prints, radius, limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                if isinstance(tree := trees[mask, value], bytes):
+                    tree = trees[mask, value] = BkTree.unpacked(tree)
+                probed(tree, [print_ & _ALL], forest)
+            if len(forest.parent) > 200_000:
+                yield edges(forest)
+                forest = Forest()
+        yield edges(forest)
+
+    return dealt.mapInArrow(probe, "a long, b long").distinct()
 
 
 _ALL = (1 << 64) - 1

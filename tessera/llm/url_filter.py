@@ -1,4 +1,10 @@
-"""URL filter: rules by host and path, and boosted trees on lexical features for the rest."""
+"""URL filter: rules by host and path, and boosted trees on lexical features for the rest.
+
+Suffix statistics are fitted out of fold: a training row sees those of other
+hosts only, and each row is also shown once with an unknown suffix, so that the
+trees can't read a rule back from the suffix that it labelled, and judge URLs of
+suffixes nobody labelled by the rest of what they look like.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +24,8 @@ from tessera.llm.shared import ship, shipped
 
 #: Labelled URLs that the trees are fitted on, at most: those with the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: Suffix statistics are kept by this many hash buckets, whatever the number of suffixes.
-SUFFIX_BUCKETS = 1024
+#: Suffix statistics are kept by this many hash buckets, whatever the number of suffixes, for each fold of hosts.
+SUFFIX_BUCKETS, FOLDS = 1024, 5
 _BINS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = re.compile(r"[0-9]")
@@ -71,6 +77,10 @@ def suffixes(host: str) -> tuple[int, int]:
     return zlib.crc32(labels[-1].encode()) % SUFFIX_BUCKETS, zlib.crc32(("2" + ".".join(labels[-2:])).encode()) % SUFFIX_BUCKETS
 
 
+def host_fold(host: str) -> int:
+    return zlib.crc32(("fold " + host).encode()) % FOLDS
+
+
 def lexical(url: str, host: str, path: str) -> list[float]:
     """Length, depth, ratios, entropy and parameter counts."""
     low, n = url.lower(), max(1, len(url))
@@ -85,20 +95,35 @@ def lexical(url: str, host: str, path: str) -> list[float]:
     ]
 
 
+_NONE = (np.zeros(FOLDS), np.zeros(FOLDS))
+
+
 @dataclass
 class UrlModel:
     """Complete binary trees over feature thresholds, and the suffix statistics that two features come from."""
 
     prior: float = 0.0
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    rates: dict[tuple[int, int], float] = field(default_factory=dict)
+    #: (kind, bucket) -> blocked and all labelled rows by fold of the host
+    counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     base: float = 0.5
 
-    def features(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
-        rows = []
-        for u, h, p in zip(urls, hosts, paths):
-            one, two = suffixes(h)
-            rows.append([*lexical(u, h, p), self.rates.get((1, one), self.base), self.rates.get((2, two), self.base)])
+    def suffix_features(self, host: str, without: int | None = None) -> list[float]:
+        """Smoothed blocked share, and whether there is any label, of the last label and the last two; without: a fold left out."""
+        out = []
+        for kind, bucket in enumerate(suffixes(host), 1):
+            blocked, n = (float(x.sum() - (0 if without is None else x[without])) for x in self.counts.get((kind, bucket), _NONE))
+            out += [(blocked + 4 * self.base) / (n + 4), float(n > 0)]
+        return out
+
+    def features(self, urls: list[str], hosts: list[str], paths: list[str], folds: list[int] | None = None, known: bool = True) -> np.ndarray:
+        """folds: the fold whose suffix counts each row doesn't see; not known: as if nobody had labelled its suffix."""
+        rows, held = [], {}
+        for k, (u, h, p) in enumerate(zip(urls, hosts, paths)):
+            fold = None if folds is None else folds[k]
+            if (suffix := held.get((h, fold))) is None:
+                suffix = held[h, fold] = self.suffix_features(h, fold) if known else [self.base, 0.0] * 2
+            rows.append([*lexical(u, h, p), *suffix])
         return np.array(rows, np.float64).reshape(len(urls), -1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -160,52 +185,82 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 2, SUFFIX_BUCKETS), np.int64)
+        n = np.zeros((2, 2, SUFFIX_BUCKETS, FOLDS), np.int64)
         for b in batches:
             for host, blocked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for kind, bucket in enumerate(suffixes(host)):
-                    n[int(blocked), kind, bucket] += 1
-        kind, bucket = np.nonzero(n.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (kind + 1, bucket, n[1, kind, bucket], n[:, kind, bucket].sum(0))], ["kind", "bucket", "blocked", "n"])
+                    n[int(blocked), kind, bucket, host_fold(host)] += 1
+        kind, bucket, fold = np.nonzero(n.sum(0))
+        values = (kind + 1, bucket, fold, n[1, kind, bucket, fold], n[:, kind, bucket, fold].sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["kind", "bucket", "fold", "blocked", "n"])
 
-    counts = labelled.select("host", "blocked").mapInArrow(count, "kind long, bucket long, blocked long, n long")
-    stats = counts.groupBy("kind", "bucket").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).collect()  # 2 * SUFFIX_BUCKETS rows at most
+    counts = labelled.select("host", "blocked").mapInArrow(count, "kind long, bucket long, fold long, blocked long, n long")
+    stats = counts.groupBy("kind", "bucket", "fold").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).collect()  # 2 * SUFFIX_BUCKETS * FOLDS rows at most
     total = sum(r.n for r in stats if r.kind == 1)
     model = UrlModel(base=(sum(r.blocked for r in stats if r.kind == 1) + 0.5) / (total + 1))
-    model.rates = {(r.kind, r.bucket): (r.blocked + 4 * model.base) / (r.n + 4) for r in stats}
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows).collect()
+    for r in stats:
+        blocked, n = model.counts.setdefault((r.kind, r.bucket), (np.zeros(FOLDS), np.zeros(FOLDS)))
+        blocked[r.fold], n[r.fold] = r.blocked, r.n
+    rows = labelled.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample_rows).collect()
     y = np.array([float(r.blocked) for r in rows])
     model.prior = math.log(model.base / (1 - model.base))
     if rows and 0 < y.mean() < 1:
-        model.prior, model.trees = boost(model.features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows]), y)
+        given = [[r[c] for r in rows] for c in ("url", "host", "path")]
+        seen = model.features(*given, folds=[host_fold(r.host) for r in rows])
+        model.prior, model.trees = boost(np.vstack([seen, model.features(*given, known=False)]), np.concatenate([y, y]))
     return model
 
 
-def judge(urls: DataFrame, rules: list[Rule], threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(page_id, url) -> page_id, host, path, rule, verdict, score; one row per input row.
-
-    URLs that a rule fits are the labelled ones: the rule's verdict stands, and
-    the trees learn from it to judge the others, block at scores from threshold
-    on.  score is the model's for every row.  Null url, or one without ://: host
-    and path empty, no rule, judged as an empty URL.  Empty table: no rows.
-    """
+def labelled_urls(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(page_id, url) -> page_id, url, host, path, rule, blocked: what the rules say; null blocked where none fits."""
     parts = urls.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"),
     ).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    verdicts = F.lit(None).cast("string")
+    blocked = F.lit(None).cast("boolean")
     for rule in rules:
-        verdicts = F.when(F.col("rule") == rule.text, F.lit(rule.verdict)).otherwise(verdicts)
-    labelled = parts.where("rule IS NOT NULL").select("url", "host", "path", (verdicts == "block").alias("blocked"))
-    model = ship(urls.sparkSession, fit(labelled, sample_rows))
+        blocked = F.when(F.col("rule") == rule.text, F.lit(rule.verdict == "block")).otherwise(blocked)
+    return parts.withColumn("blocked", blocked)
+
+
+def scored_urls(parts: DataFrame, model: UrlModel) -> DataFrame:
+    """parts with url, host, path and other columns -> without url, with score."""
+    held = ship(parts.sparkSession, model)
+    names = [c for c in parts.columns if c != "url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped(model)
+        m = shipped(held)
         for b in batches:
-            u, h, p = (b.column(k).to_pylist() for k in (1, 2, 3))
+            u, h, p = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("url", "host", "path"))
             score = m.score(m.features(u, h, p)) if u else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3, 4)), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(score, pa.float64())], [*names, "score"])
+
+    return parts.mapInArrow(run, parts.drop("url").withColumn("score", F.lit(0.0)).schema)
+
+
+def held_out_accuracy(urls: DataFrame, rules: list[Rule], fold: int = 0, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> tuple[float, float, int]:
+    """(share judged as the rules do, share of the commoner label, rows) of the labelled URLs whose hosts are of one fold, by a model fitted on the others."""
+    parts = labelled_urls(urls, rules).where("blocked IS NOT NULL")
+    of_fold = F.crc32(F.concat(F.lit("fold "), F.col("host"))) % FOLDS == fold
+    model = fit(parts.where(~of_fold), sample_rows)
+    row = scored_urls(parts.where(of_fold), model).agg(
+        F.avg(((F.col("score") >= threshold) == F.col("blocked")).cast("double")), F.avg(F.col("blocked").cast("double")), F.count(F.lit(1))
+    ).first()
+    return (row[0] or 0.0, max(row[1] or 0.0, 1 - (row[1] or 0.0)), row[2])
+
+
+def judge(urls: DataFrame, rules: list[Rule], threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(page_id, url) -> page_id, host, path, rule, verdict, score; one row per input row.
 
-    scored = parts.mapInArrow(run, "page_id long, host string, path string, rule string, score double")
-    own = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce(verdicts, own).alias("verdict"), "score")
+    URLs that a rule fits are the labelled ones: the rule's verdict stands, and
+    the trees learn from it to judge the others, block at scores from threshold
+    on.  score is the model's for every row.  Null url, or one without ://: host
+    and path empty, no rule, judged as an empty URL.  Repeated rows are judged
+    alike and count as often as they come.  Null page_id stays null.  No rule
+    fits any row: all scores are one half, all others block at the default
+    threshold.  Empty table: no rows.
+    """
+    parts = labelled_urls(urls, rules)
+    scored = scored_urls(parts, fit(parts.where("blocked IS NOT NULL"), sample_rows))
+    verdict = F.when(F.coalesce(F.col("blocked"), F.col("score") >= threshold), F.lit("block")).otherwise(F.lit("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

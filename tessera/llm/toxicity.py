@@ -18,14 +18,14 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ship, shipped
+from tessera.llm.shared import ship, shipped, stash
 
 #: Labelled documents that the lexicon and the score are fitted on, at most: those with the smallest id hashes.
 SAMPLE_ROWS = 30_000
-#: Units of the lexicon, at most, and its clean words that override a word beginning.
+#: Units of the lexicon, at most: those of the largest weights.  Four times as many are candidates, as a part's model may rank them otherwise.
 LEXICON_UNITS = 3000
 #: Toxic documents a unit must occur in, and the least log ratio of its document rates.
 LEAST_DOCS, LEAST_WEIGHT = 4, 3.0
@@ -33,7 +33,7 @@ _PREFIXES = (4, 5, 6, 7)
 #: Parts of the sample; each is scored with what the others taught, so that the score's fit isn't flattered.
 _PARTS = 5
 _COUNTS = [f"{y}_{k}" for k in range(_PARTS) for y in ("clean", "toxic")]
-_FLUSH = 200_000
+_FLUSH = 60_000
 
 # Look-alike letters (Cyrillic, Greek, full width by rule), signs and digits used for letters,
 # and phrases in which a listed word is meant otherwise.
@@ -100,7 +100,9 @@ class ToxicModel:
 
     def measure(self, text: str | None) -> tuple[float, int, int]:
         """(sum of weights, words hit, words) of a text."""
-        folded = fold_text(text)
+        return self.measure_folded(fold_text(text))
+
+    def measure_folded(self, folded: str) -> tuple[float, int, int]:
         hits: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         a = self.automaton()
@@ -123,17 +125,32 @@ def _inputs(total: float, hits: int, words: int) -> tuple[float, ...]:
     return 1.0, math.log1p(total), total / (words + 20.0), math.log1p(hits)
 
 
-def _units(text: str) -> set[str]:
-    words = set(fold_text(text).split())
+def _units(folded: str) -> set[str]:
+    words = set(folded.split())
     return words | {w[:k] + "*" for w in words for k in _PREFIXES if len(w) > k}
 
 
+def _weight(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+
+
 def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
-    """docs (doc_id, text), labelled (doc_id, toxic); rows with null id or label are left out, of repeated ids the highest counts."""
-    labelled = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()
+    """docs (doc_id, text), labelled (doc_id, toxic); rows with null id or label are left out, of repeated ids the highest counts.
+
+    The sample of labelled ids is bounded; units are counted over it by partial
+    aggregation and filtered before the best are taken.  No labels, or of one
+    kind: SEED_WORDS with equal weights.  Ties of weight go by code points.
+    """
     spark = docs.sparkSession
-    label = spark.sparkContext.broadcast({r.doc_id: (int(r.toxic > 0), k % _PARTS) for k, r in enumerate(rows)})
+    labelled = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    rows = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    # sample_rows rows at most
+    sample = spark.createDataFrame([(r.id, int(r.toxic > 0), k % _PARTS) for k, r in enumerate(rows)], "id long, y int, part int")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fold_text(t.as_py()) for t in b.column(2)], pa.string())], ["y", "part", "folded"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -145,60 +162,74 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
             return out
 
         for b in batches:
-            for k, doc in enumerate(b.column(0).to_pylist()):
-                if (own := label.value.get(doc)) is None:
-                    continue
-                at = own[0] + 2 * own[1]
-                for unit in {"", *_units(b.column(1)[k].as_py())}:
-                    seen.setdefault(unit, [0] * len(_COUNTS))[at] += 1
+            for y, part, folded in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                for unit in {"", *_units(folded.as_py())}:
+                    seen.setdefault(unit, [0] * len(_COUNTS))[y + 2 * part] += 1
                 if len(seen) > _FLUSH:
                     yield flush()
         if seen:
             yield flush()
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = given.mapInArrow(count, "unit string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    clean, toxic = (sum((F.col(c) for c in _COUNTS[y::2]), F.lit(0)) for y in (0, 1))
-    whole = (F.col("unit") == "").cast("int")
-    top = counts.where(toxic > 0).orderBy(F.desc(whole), F.desc(toxic / (clean + 1)), "unit").limit(4 * LEXICON_UNITS).collect()
-    without = lambda part: [(r.unit, *(sum(r[f"{y}_{k}"] for k in range(_PARTS) if k != part) for y in ("clean", "toxic"))) for r in top]
-    models = [_lexicon(without(part)) for part in (None, *range(_PARTS))]
-    if models[0] is None:
+    folded = stash(given.select("y", "part", "text").mapInArrow(fold, "y int, part int, folded string"), "toxic-sample")
+    counts = folded.mapInArrow(count, "unit string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    counts = stash(counts, "toxic-units")
+    whole = counts.where("unit = ''").first()
+    if whole is None or not all(sum(whole[c] for c in _COUNTS[y::2]) for y in (0, 1)):
         return ToxicModel(dict.fromkeys(SEED_WORDS, 3.0))
-    model = models[0]
-    others = ship(spark, [m or model for m in models[1:]])
+    weights = []
+    for out in (None, *range(_PARTS)):
+        kept = [[c for k, c in enumerate(_COUNTS[y::2]) if k != out] for y in (0, 1)]
+        n = [sum(whole[c] for c in own) for own in kept]
+        clean, toxic = (sum((F.col(c) for c in own), F.lit(0)) for own in kept)
+        weights.append(_weight(toxic, clean, n[1], n[0]))
+    toxic = sum((F.col(c) for c in _COUNTS[1::2]), F.lit(0))
+    top = counts.where((F.col("unit") != "") & (toxic >= LEAST_DOCS) & (F.greatest(*weights) >= LEAST_WEIGHT))
+    top = top.orderBy(F.desc(weights[0]), "unit").limit(4 * LEXICON_UNITS).collect()
+    without = lambda rows, part: [(r.unit, *(sum(r[f"{y}_{k}"] for k in range(_PARTS) if k != part) for y in ("clean", "toxic"))) for r in rows]
+    totals = [without([whole], part)[0][1:] for part in (None, *range(_PARTS))]
+    units = [_lexicon(without(top, part), *totals[k]) for k, part in enumerate((None, *range(_PARTS)))]
+    starts = sorted({u[:-1] for own in units for u in own if u.endswith("*")})
+    under = F.lit(False)
+    for k in _PREFIXES:
+        if own := [u for u in starts if len(u) == k]:
+            under |= F.substring("unit", 1, k).isin(own)
+    # clean words under a listed beginning: of the sample's words, so bounded as it is
+    clean = counts.where(~F.col("unit").endswith("*") & under & (F.least(*weights) < 0)).collect() if starts else []
+    models = [ToxicModel(own, EXCEPTIONS + _spared(own, without(clean, part), *totals[k])) for k, (own, part) in enumerate(zip(units, (None, *range(_PARTS))))]
+    model, others = models[0], ship(spark, models[1:])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped(others)
         for b in batches:
-            out = []
-            for k, doc in enumerate(b.column(0).to_pylist()):
-                if (y := label.value.get(doc)) is not None:
-                    out.append((y[0], *own[y[1]].measure(b.column(1)[k].as_py())))
+            out = [(y, *own[part].measure_folded(t.as_py())) for y, part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["y", "total", "hits", "words"])
 
     # as many rows as the sample has ids (repeated rows count once more)
-    got = given.mapInArrow(measure, "y long, total double, hits long, words long").groupBy("y", "total", "hits", "words").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = folded.mapInArrow(measure, "y long, total double, hits long, words long").groupBy("y", "total", "hits", "words").agg(F.count(F.lit(1)).alias("n")).collect()
+    got.sort()
     model.beta = _logistic([(_inputs(r.total, r.hits, r.words), r.y, r.n) for r in got])
     return model
 
 
-def _lexicon(counts: list[tuple[str, int, int]]) -> ToxicModel | None:
-    """A model from (unit, clean, toxic documents); the unit '' holds the numbers of documents."""
-    n = next((c for c in counts if c[0] == ""), ("", 0, 0))
-    if not n[1] or not n[2]:
-        return None
-    known = {u: math.log((t + 0.5) / (n[2] + 1)) - math.log((c + 0.5) / (n[1] + 1)) for u, c, t in counts if u}
+def _log_ratio(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
+    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+
+
+def _lexicon(counts: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
+    """Weights of the units from (unit, clean, toxic documents)."""
     docs = {u: t for u, _, t in counts}
-    units = {u: known[u] for u, _, t in counts if u and t >= LEAST_DOCS and known[u] >= LEAST_WEIGHT}
+    units = {u: w for u, c, t in counts if t >= LEAST_DOCS and (w := _log_ratio(c, t, n_clean, n_toxic)) >= LEAST_WEIGHT}
     for u, _, t in counts:  # a beginning that one word accounts for says no more than the word
         for k in _PREFIXES if u in units and not u.endswith("*") else ():
             if t >= 0.8 * docs.get(f"{u[:k]}*", math.inf):
                 units.pop(f"{u[:k]}*", None)
-    units = dict(sorted(units.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_UNITS])
+    return dict(sorted(units.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_UNITS])
+
+
+def _spared(units: dict[str, float], counts: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> tuple[str, ...]:
+    """Words that are commoner in clean documents although they begin as a listed beginning."""
     starts = tuple(u[:-1] for u in units if u.endswith("*"))
-    spared = tuple(sorted(u for u, w in known.items() if starts and not u.endswith("*") and u.startswith(starts) and w < 0))
-    return ToxicModel(units, EXCEPTIONS + spared)
+    return tuple(sorted(u for u, c, t in counts if starts and u.startswith(starts) and u not in units and _log_ratio(c, t, n_clean, n_toxic) < 0))
 
 
 def _logistic(rows: list[tuple[tuple[float, ...], int, int]], ridge: float = 0.5) -> tuple[float, ...]:
@@ -224,9 +255,10 @@ def _logistic(rows: list[tuple[tuple[float, ...], int, int]], ridge: float = 0.5
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, prefix: str = "") -> DataFrame:
-    """All columns of docs and, named prefix + score, weight, hits: the score and what it came from.
+    """All columns of docs and, named prefix + score, weight, hits: the score and what it came from; columns so named before are replaced.
 
-    Null and empty texts have no matches; they score as the bias says.
+    Null and empty texts have no matches; they score as the bias says.  Null ids
+    and repeated rows are scored like any.  Empty table: no rows.
     """
     held = ship(docs.sparkSession, model)
     names = [f"{prefix}{c}" for c in ("score", "weight", "hits")]

@@ -28,10 +28,12 @@ from tessera.llm.shared import ascii_words, ship, shipped, stash
 HEAD_WORDS, SYMBOL_WORDS = 200_000, 16_000
 CLASSES = 64
 STATES = 8
-#: Rounds of Baum-Welch over all training texts, after rounds over a bounded sample that settle the start.
-ROUNDS, START_ROUNDS, START_TOKENS = 3, 12, 400_000
-#: Training sequences are texts cut at this many tokens; scoring never cuts.
-SEGMENT = 256
+#: Rounds of Baum-Welch over all training texts, at most, and the relative gain in log likelihood under which they end;
+#: rounds over a bounded sample of segments of texts of all lengths settle the start.
+ROUNDS, SETTLED, START_ROUNDS, START_TOKENS = 5, 0.002, 12, 400_000
+#: Training goes through texts in segments of this many tokens; the recursions run in from and out to so many tokens
+#: beyond each cut, whose own counts belong to the neighbours.  Scoring never cuts.
+SEGMENT, CONTEXT = 256, 32
 _BLOCK = 1024
 _FLUSH = 250_000
 _CHUNK = 400_000
@@ -88,14 +90,21 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int, head_words: int = HEAD_WORDS, symbol_words: int = SYMBOL_WORDS) -> Vocabulary:
-    """The head: all words from the count on at which no more than head_words are left."""
+    """The head: all words from the count on at which no more than head_words are left.
+
+    If more words than that share the highest counts, those of them with the least hashes.
+    """
     levels = counts.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("tokens")).collect()
     least, n = math.inf, 0
     for r in sorted(levels, key=lambda r: -r.level):
         if (n := n + r.words) > head_words:
             break
         least = r.level
-    head = [] if least == math.inf else counts.where(F.floor(F.log2("c") * 16) >= least).collect()
+    chosen = F.floor(F.log2("c") * 16) >= least if least < math.inf else F.lit(False)
+    if least == math.inf and levels:
+        top = max(levels, key=lambda r: r.level)
+        chosen = (F.floor(F.log2("c") * 16) == top.level) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(0.95 * head_words / top.words * (1 << 20)))
+    head = counts.where(chosen).collect()  # about head_words words at most
     head = sorted(((r.word.encode(), r.c) for r in head), key=lambda x: (-x[1], x[0]))
     symbol = {w: k for k, (w, _) in enumerate(head[:symbol_words])}
     by_class = counts.groupBy(_class_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
@@ -158,55 +167,73 @@ class Hmm:
     emit: np.ndarray  # symbols x states
 
 
-def segments(blobs: Iterator[bytes]) -> Iterator[np.ndarray]:
-    """Symbol sequences cut at SEGMENT, in matrices of about _CHUNK tokens, padded with -1."""
+@dataclass
+class Segments:
+    """Sequences in order of length, longest first: symbols by time and sequence, padded with -1.
+
+    first: whether a sequence starts its text; those that count are the places from own_from up to own_to.
+    """
+
+    x: np.ndarray
+    first: np.ndarray
+    own_from: np.ndarray
+    own_to: np.ndarray
+
+
+def segments(blobs: Iterator[bytes]) -> Iterator[Segments]:
+    """Texts as segments with context, in matrices of about _CHUNK tokens."""
     rows, size = [], 0
     for blob in blobs:
         x = np.frombuffer(blob, "<u2").astype(np.int32)
         for at in range(0, len(x), SEGMENT):
-            rows.append(x[at : at + SEGMENT])
-            size += len(rows[-1])
-        if size >= _CHUNK:
-            yield _matrix(rows)
-            rows, size = [], 0
+            low, end = max(0, at - CONTEXT), min(len(x), at + SEGMENT)
+            rows.append((x[low : end + CONTEXT], low == 0, at - low, end - low))
+            size += len(rows[-1][0])
+            if size >= _CHUNK:
+                yield _matrix(rows)
+                rows, size = [], 0
     if rows:
         yield _matrix(rows)
 
 
-def _matrix(rows: list[np.ndarray]) -> np.ndarray:
-    rows = sorted(rows, key=len, reverse=True)
-    out = np.full((len(rows[0]), len(rows)), -1, np.int32)
-    for k, x in enumerate(rows):
-        out[: len(x), k] = x
-    return out
+def _matrix(rows: list[tuple[np.ndarray, bool, int, int]]) -> Segments:
+    rows = sorted(rows, key=lambda r: -len(r[0]))
+    out = np.full((len(rows[0][0]), len(rows)), -1, np.int32)
+    for k, r in enumerate(rows):
+        out[: len(r[0]), k] = r[0]
+    return Segments(out, *(np.array([r[k] for r in rows]) for k in (1, 2, 3)))
 
 
-def expected_counts(model: Hmm, x: np.ndarray, start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> float:
-    """Forward-backward over a matrix of sequences (time x sequence); adds to the counts, returns the log likelihood."""
+def expected_counts(model: Hmm, given: Segments, start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> float:
+    """Forward-backward over segments; adds what their own places give to the counts, returns those places' log likelihood."""
+    x = given.x
     steps, k = len(x), model.moves.shape[0]
-    live = (x >= 0).sum(1)  # sequences are in order of length
-    alpha, scale, seen = [], [], []
+    live = (x >= 0).sum(1)
+    alpha, scale, seen, owns = [], [], [], []
     a = None
     total = 0.0
+    flat = np.full(k, 1 / k, model.start.dtype)
     for t in range(steps):
         e = model.emit[x[t, : live[t]]]
-        a = (model.start * e) if a is None else (a[: live[t]] @ model.moves) * e
+        a = np.where(given.first[:, None], model.start, flat) * e if a is None else (a[: live[t]] @ model.moves) * e
         s = a.sum(1, keepdims=True)
         a = a / s
-        total += float(np.log(s).sum())
+        own = ((given.own_from[: live[t]] <= t) & (t < given.own_to[: live[t]])).astype(model.emit.dtype)[:, None]
+        total += float((np.log(s) * own).sum())
         alpha.append(a)
         scale.append(s)
         seen.append(e)
+        owns.append(own)
     beta, gammas = np.ones((live[-1], k), model.emit.dtype), []
     for t in range(steps - 1, -1, -1):
         gamma = alpha[t] * beta
         gamma /= gamma.sum(1, keepdims=True)
-        gammas.append(gamma)
+        gammas.append(gamma * owns[t])
         if t == 0:
-            start += gamma.sum(0)
+            start += gamma[given.first].sum(0)
             break
         eb = seen[t] * beta / scale[t]
-        moves += model.moves * (alpha[t - 1][: live[t]].T @ eb)
+        moves += model.moves * (alpha[t - 1][: live[t]].T @ (eb * owns[t]))
         beta = np.ones((live[t - 1], k), model.emit.dtype)
         beta[: live[t]] = eb @ model.moves.T
     symbols, gamma = np.concatenate([x[t, : live[t]] for t in range(steps - 1, -1, -1)]), np.concatenate(gammas)
@@ -232,8 +259,9 @@ def _add(blobs: Iterator[bytes], model: Hmm, symbols: int) -> tuple[np.ndarray,
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS, seed: int = 7) -> Hmm:
     """Baum-Welch on the symbols of encoded's rows.
 
-    The start is settled on a bounded sample of texts; then each round sums
-    the expected counts of all partitions, by symbol blocks, in the executors.
+    The start is settled on a bounded sample of segments; then each round sums
+    the expected counts of all partitions, by symbol blocks, in the executors,
+    until the likelihood settles.
     """
     spark, symbols = encoded.sparkSession, vocab.symbols
     share = np.full(symbols, 0.5)
@@ -246,21 +274,22 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
     emit = share[:, None] * rng.uniform(0.2, 1.8, (symbols, states))
     sticky = np.full((states, states), 0.02) + np.eye(states) * (1 - 0.02 * states)
     model = Hmm(np.full(states, 1 / states, np.float32), sticky.astype(np.float32), (emit / emit.sum(0)).astype(np.float32))
-    sample, size = [], 0
-    short = encoded.where("n_tokens BETWEEN 20 AND 2000").select("symbols", "n_tokens").orderBy(F.xxhash64("symbols")).limit(START_TOKENS // 250)
-    for r in short.collect():
-        if size < START_TOKENS:
-            sample.append(bytes(r.symbols))
-            size += r.n_tokens
+    # one segment of each sampled text, whatever its length
+    cuts = F.ceil(F.col("n_tokens") / SEGMENT)
+    cut = F.pmod(F.xxhash64("symbols", F.lit(seed)), cuts)
+    drawn = encoded.select(F.substring("symbols", (cut * 2 * SEGMENT + 1).cast("int"), F.lit(2 * SEGMENT)).alias("symbols"), F.xxhash64("symbols").alias("place"))
+    drawn = drawn.orderBy("place", "symbols").limit(START_TOKENS // SEGMENT)
+    sample = [bytes(r.symbols) for r in drawn.collect()]
     for _ in range(START_ROUNDS if sample else 0):
         start, moves, counts, _ = _add(iter(sample), model, symbols)
         model = normalised(start, moves, counts, share)
+    last = -math.inf
     for _ in range(rounds):
         held = ship(spark, model)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            start, moves, counts, _ = _add((t.as_py() for b in batches for t in b.column(0)), shipped(held), symbols)
-            parts = [(-1, np.vstack([start, moves]).astype("<f4").tobytes())]
+            start, moves, counts, total = _add((t.as_py() for b in batches for t in b.column(0)), shipped(held), symbols)
+            parts = [(-1, np.vstack([start, moves, np.full(states, total)]).astype("<f4").tobytes())]
             parts += [(at // _BLOCK, counts[at : at + _BLOCK].astype("<f4").tobytes()) for at in range(0, symbols, _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["block", "counts"])
 
@@ -278,7 +307,10 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
         if -1 not in got:
             break
         emit = np.vstack([got[k] for k in sorted(got) if k >= 0])
-        model = normalised(got[-1][0], got[-1][1:], emit, share)
+        model = normalised(got[-1][0], got[-1][1:-1], emit, share)
+        if got[-1][-1, 0] - last < SETTLED * abs(got[-1][-1, 0]):
+            break
+        last = got[-1][-1, 0]
     return model
 
 

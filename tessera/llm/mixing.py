@@ -15,7 +15,8 @@ from tessera.llm.shared import WORD_PATTERN, stash
 
 #: Rows of one source that one window task orders.
 ROWS_PER_BUCKET = 2048
-_HASH_SPACE = 1 << 20
+#: Hex digits of a place that deal it to a bucket.
+_PLACE_DIGITS = 13
 
 
 def word_count(text: Column) -> Column:
@@ -95,12 +96,12 @@ def sainte_lague(targets: DataFrame, shards: int, block_words: int) -> DataFrame
 
 
 def mix_sources(
-    docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, block_words: int = 32, shards: int = 16, seed: str = "mix-1"
+    docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, block_words: int = 32, shards: int = 16, seed: str = "mix-1", carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, quotas).
 
     documents: doc_id, source, size, source_size, target, taken, first_shard,
-    one row per input row.  quotas: source, source_size, target, quotas (blocks
+    one row per input row, and the columns named in carry.  quotas: source, source_size, target, quotas (blocks
     taken up to each shard).  A source's documents lie on a token line in the
     order of md5(seed, doc_id), cut into blocks of block_words words; the
     source's quota takes blocks from the line's start, going round when they
@@ -113,7 +114,7 @@ def mix_sources(
     """
     base = stash(
         docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"),
+            *carry, "doc_id", "source", word_count(F.col("text")).alias("size"),
             F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("place"),
         ),
         "mix-sizes",
@@ -131,8 +132,8 @@ def mix_sources(
     )
     placed = (
         base.join(plan.select("s_source", "sid", "buckets"), F.col("source").eqNullSafe(F.col("s_source")))
-        .withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 5), 16, 10).cast("long") * F.col("buckets") / _HASH_SPACE))
-        .select("doc_id", "source", "size", "place", "sid", "bucket")
+        .withColumn("bucket", F.floor(F.conv(F.substring("place", 1, _PLACE_DIGITS), 16, 10).cast("double") / 16.0**_PLACE_DIGITS * F.col("buckets")))
+        .select(*carry, "doc_id", "source", "size", "place", "sid", "bucket")
     )
     totals = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,6 +153,21 @@ def mix_sources(
         )
         .withColumn("block", F.expr(f"start div {block_words}"))
         .withColumn("first_shard", F.when(F.col("taken") > 0, F.size(F.filter("quotas", lambda q: q <= F.col("block"))) + 1))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard")
+        .select(*carry, "doc_id", "source", "size", "source_size", "target", "taken", "first_shard")
     )
     return out, quotas.select("source", "source_size", "target", "quotas")
+
+
+def mix_documents(docs: DataFrame, prefix: str = "mix_", **options) -> DataFrame:
+    """The documents the mix takes words of, with all their columns and, named prefix + size, target, taken, first_shard, what it takes.
+
+    The mix holds a text as often as its size goes into taken, and so many of
+    its words once more as are left over.  Rows without id, and equal rows, are
+    told apart by a number that the written table fixes.  Nothing taken: no rows.
+    """
+    held = stash(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    names = ("size", "target", "taken", "first_shard")
+    mixed = mix_sources(held, carry=("_mix_row",), **options)[0].where("taken > 0")
+    mixed = mixed.select(F.col("_mix_row").alias("_mix_of"), *[F.col(c).alias(f"{prefix}{c}") for c in names])
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    return held.join(mixed, F.col("_mix_row") == F.col("_mix_of")).select(*given, *[f"{prefix}{c}" for c in names])

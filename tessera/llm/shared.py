@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import shutil
+import re
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -15,18 +14,33 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Applications whose folder goes when their JVM ends.
+_MARKED: set[str] = set()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of ours where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in a single local JVM, where that is unset, one of ours."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, f"/tmp/checkpoints/tessera-{spark.sparkContext.applicationId}", ignore_errors=True)
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession):
+    """Path and file system of this application's scratch tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tessera-{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
+    path, files = _folder(spark)
+    if (app := spark.sparkContext.applicationId) not in _MARKED:
+        files.mkdirs(path)  # only what exists can be marked
+        files.deleteOnExit(path)
+        _MARKED.add(app)
     return f"{shared_root(spark)}/tessera-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -50,9 +64,9 @@ def shipped(held: Broadcast) -> object:
 
 def release(spark: SparkSession) -> None:
     """Drop this application's scratch tables; results that read them must have been written before."""
-    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tessera-{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _folder(spark)
+    files.delete(path, True)
+    _MARKED.discard(spark.sparkContext.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

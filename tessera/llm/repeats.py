@@ -4,8 +4,8 @@ Each string of `length` bytes is named after an anchor inside it, the gram with
 the least hash (rightmost of equals): equal strings have equal anchors at equal
 places.  An anchor's occurrence owns the run of strings it names, so anchors
 deal all strings of the corpus, each exactly once, into groups; only groups
-with several occurrences can hold repeats.  Occurrences whose owned stretches
-are the same byte for byte collapse to one with a count before any bytes move.
+with several occurrences can hold repeats.  Occurrences whose owned stretches have
+the same 128-bit hash collapse to one with a count before any bytes move.
 What differs within a group goes to shards of bounded size: suffix array, Kasai
 common prefixes over the owned starts, and where a group spans shards, binary
 search of one shard's strings in the other's array.
@@ -28,8 +28,8 @@ from tessera.llm.suffix_array import Shard, repeated_starts
 LENGTH = 400
 #: Text bytes of one suffix array.
 SHARD_BYTES = 256 << 10
-#: Stretches of one anchor that one task compares; a larger group is cut and its parts meet in pairs.
-GROUP_ROWS = 4096
+#: Stretches of one anchor, and their bytes, that one part holds; a larger group is cut and its parts meet in pairs.
+GROUP_ROWS, GROUP_BYTES = 4096, 2 << 20
 _PIECE = 1 << 17
 _MIX = (np.uint64(33), np.uint64(0xFF51AFD7ED558CCD), np.uint64(29))
 _BASE = 0x9E3779B97F4A7C15
@@ -107,14 +107,14 @@ def text_key(text: bytes) -> int:
 
 
 def stretches(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, text -> anchor, body (hash of the owned stretch), doc_id, key, start, place, runs.
+    """doc_id, text -> anchor, body and more (hash of the owned stretch), doc_id, key, start, place, runs.
 
     The stretch begins at start; its anchor lies place bytes on, and it owns
     runs + 1 strings.  Of stretches that a text holds again one stays, and what
     they cover comes as spans from start on, with a null anchor and runs + 1
     strings: a text of one short period is two rows, not one for each period.
     """
-    names = ["anchor", "body", "doc_id", "key", "start", "place", "runs"]
+    names = ["anchor", "body", "more", "doc_id", "key", "start", "place", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables()
@@ -130,9 +130,10 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
                 of = np.searchsorted([p[2] for p in pieces], first, side="right") - 1
                 shift = np.array([p[1] - p[2] for p in pieces])[of]
                 text = np.array([p[0] for p in pieces])[of].tolist()
-                body = np.array([xxhash.xxh3_64_intdigest(buffer[s : e + length]) for s, e in zip(first.tolist(), last.tolist())], np.uint64)
+                body = np.frombuffer(b"".join([xxhash.xxh3_128_digest(buffer[s : e + length]) for s, e in zip(first.tolist(), last.tolist())]), "<u8").reshape(-1, 2)
                 start, runs, place = first + shift, last - first, at - first
-                own = body + np.array(text, np.uint64) * np.uint64(_BASE)
+                own = np.empty(len(body), [("body", "<u8"), ("more", "<u8"), ("text", "<i8")])
+                own["body"], own["more"], own["text"] = body[:, 0], body[:, 1], text
                 _, one, back, many = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
                 keep, none = np.ones(len(own), bool), np.zeros(len(own), bool)
                 if len(one) < len(own):
@@ -148,14 +149,14 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
                     text = [t for t, k in zip(text, keep) if k] + [c[0] for c in covered]
                     start = np.append(start[keep], [c[1] for c in covered])
                     runs = np.append(runs[keep], [c[2] - c[1] for c in covered])
-                    place, anchor, body = np.append(place[keep], [0] * more), np.append(anchor[keep], np.zeros(more, np.uint64)), np.append(body[keep], np.zeros(more, np.uint64))
+                    place, anchor, body = np.append(place[keep], [0] * more), np.append(anchor[keep], np.zeros(more, np.uint64)), np.vstack([body[keep], np.zeros((more, 2), np.uint64)])
                     none = np.append(none[keep], np.ones(more, bool))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64), mask=none), pa.array(body.view(np.int64), mask=none), pa.array([ids[k] for k in text], pa.int64()),
+                    pa.array(anchor.view(np.int64), mask=none), *(pa.array(np.ascontiguousarray(body[:, k]).view(np.int64), mask=none) for k in (0, 1)), pa.array([ids[k] for k in text], pa.int64()),
                     pa.array([keys[k] for k in text], pa.int64()), pa.array(start.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(runs.astype(np.int32)),
                 ], names)
 
-    schema = "anchor long, body long, doc_id long, key long, start long, place int, runs int"
+    schema = "anchor long, body long, more long, doc_id long, key long, start long, place int, runs int"
     return docs.mapInArrow(run, schema)
 
 
@@ -287,18 +288,19 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_
     """docs (doc_id, text) -> (doc_id, key, start, end): byte spans that together cover all repeated strings."""
     rows = stash(stretches(docs, length), "stretches")
     found = rows.where("anchor IS NOT NULL")
-    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("n > 1")
-    several = stash(several.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchors")
+    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("body", "more")]).where("n > 1")
+    several = stash(several.select("anchor", F.expr("min_body = max_body AND min_more = max_more").alias("alike")), "anchors")
     shared = stash(found.join(several, "anchor"), "shared")
     whole = [F.col("start"), (F.col("start") + F.col("runs") + length).alias("end")]
     alike = shared.where("alike").unionByName(rows.where("anchor IS NULL"), allowMissingColumns=True).select("doc_id", "key", *whole)
     mixed = shared.where("NOT alike")
-    by = ["anchor", "body", "place", "runs"]
+    by = ["anchor", "body", "more", "place", "runs"]
     kinds = stash(mixed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("one")), "kinds")
     copied = mixed.join(kinds.where("n > 1").select(*by), by, "left_semi").select("doc_id", "key", *whole)
     ones = kinds.select("anchor", "one.doc_id", "one.key", "one.start", "runs")
-    # groups beyond group_rows are cut into parts by place, and each pair of parts is a task of its own
-    sizes = kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+    # larger groups are cut into parts by place, and each pair of parts is a task of its own
+    parts = F.greatest(F.count(F.lit(1)) / group_rows, F.sum(F.col("runs") + length) / GROUP_BYTES)
+    sizes = kinds.groupBy("anchor").agg(F.ceil(parts).cast("int").alias("parts"))
     ones = ones.join(sizes, "anchor").withColumn("part", F.pmod(F.xxhash64("key", "start"), F.col("parts")).cast("int"))
     ones = ones.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ones = ones.select("anchor", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "doc_id", "key", "start", "runs")

@@ -32,7 +32,7 @@ THRESHOLD, POINTS_PER_EDIT = 2, 10
 #: Lines of one key, and their code points, that one part holds; more are cut into parts that meet in pairs.
 GROUP_ROWS, GROUP_POINTS = 4096, 16 << 20
 #: Code points whose keys are made at once; lines beyond _LONG points are keyed one by one.
-_CHUNK, _LONG = 1 << 20, 1 << 16
+_CHUNK, _LONG = 1 << 19, 1 << 16
 _BATCH = 20_000
 _HALF = 1 << 63
 _BASE, _MIX, _SALT = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
@@ -356,7 +356,7 @@ def _verifier(threshold: int):
                     continue
                 pairs.setdefault(edits, []).append((x[4], x[6], y[4], y[6]))
                 points += len(y[6])
-                if len(pairs[edits]) >= _BATCH or points > 8 * _CHUNK:
+                if len(pairs[edits]) >= _BATCH or points > 16 * _CHUNK:
                     yield solve()
                     points = 0
 
@@ -412,21 +412,21 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int =
 
 
 def text_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, key, n_lines, n_removed, n_links, removed (line numbers), class_ids (doc_id of each removed line's keeper), rows.
+    """docs (doc_id, text) -> doc_id, key, n_lines, n_removed, n_links, removed (line numbers), class_ids (doc_id of each removed line's keeper), class_id, rows.
 
     One row for each distinct doc_id and text; rows counts those of docs that
-    are equal so.  Null and empty texts are one empty line that stays.  Empty
+    are equal so.  class_id: the least doc_id that keeps a line of this text.  Null and empty texts are one empty line that stays.  Empty
     table: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = line_classes(docs, threshold, least=least)
     gone = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", F.col("keep.doc_id").alias("keeper")))))
     return lines.groupBy("doc_id", "key").agg(
-        F.count_distinct("line_no").alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.max("line_no").alias("last"), gone.alias("gone"),
+        F.count_distinct("line_no").alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.min("keep.doc_id").alias("class_id"), gone.alias("gone"),
         (F.count(F.lit(1)) / F.count_distinct("line_no")).cast("long").alias("rows"),
     ).select(
         "doc_id", "key", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.expr("n_links div rows").alias("n_links"),
-        F.transform("gone", lambda g: g["line_no"]).alias("removed"), F.transform("gone", lambda g: g["keeper"]).alias("class_ids"), "rows",
+        F.transform("gone", lambda g: g["line_no"]).alias("removed"), F.transform("gone", lambda g: g["keeper"]).alias("class_ids"), "class_id", "rows",
     )
 
 

@@ -66,7 +66,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    cols = ["doc_id", "n_lines", "n_removed", "n_links", "removed", "class_ids"]
+    cols = ["doc_id", "n_lines", "n_removed", "n_links", F.coalesce("class_id", "doc_id").alias("class_id")]
+    cols += [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("removed", "class_ids")]
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*cols)
 
 
@@ -152,6 +153,27 @@ ORACLE_SQL: dict[str, str] = {
                 lambda k: substr(h, 2 * CASE WHEN k = 0 THEN 0 ELSE z[k] END + 1, 2 * (CASE WHEN k = n_spans THEN n_bytes ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE z[k] END))), '') END)) AS kept_sha256
         FROM d LEFT JOIN cuts USING (r)
     """,
+    # levenshtein counts bytes, so the letters of the tables beyond ASCII become one byte each
+    "op6_line_dedup": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        lines AS (SELECT doc_id, n - 1 AS line_no, regexp_replace(l[n], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM docs)),
+        kinds AS (SELECT line, length(line) AS points, min(ROW(doc_id, line_no)) AS first, row_number() OVER (ORDER BY min(ROW(doc_id, line_no))) AS k FROM lines WHERE line <> '' GROUP BY line),
+        plain AS (SELECT *, translate(line, 'öüÖóÓäÜèéÍÊÄñÉßêçíÇÈÑ', concat(chr(1), chr(2), chr(3), chr(4), chr(5), chr(6), chr(7), chr(8), chr(14), chr(15), chr(16), chr(17), chr(18), chr(19), chr(20), chr(21), chr(22), chr(23), chr(24), chr(25), chr(26))) AS t FROM kinds),
+        near AS (SELECT a.k AS a, b.k AS b FROM plain a JOIN plain b ON b.points BETWEEN a.points AND a.points + 2 AND (a.points < b.points OR a.k < b.k)
+            WHERE b.points - a.points <= least(2, a.points // 10) AND a.points >= 10
+            AND (substr(a.line, 1, a.points // 3) = substr(b.line, 1, a.points // 3) OR right(a.line, a.points // 3) = right(b.line, a.points // 3)
+                OR contains(substr(b.line, greatest(1, a.points // 3 - 3), a.points - 2 * (a.points // 3) + 10), substr(a.line, a.points // 3 + 1, a.points - 2 * (a.points // 3))))
+            AND levenshtein(a.t, b.t) <= least(2, a.points // 10)),
+        both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        reach AS (SELECT k, k AS r FROM kinds UNION SELECT reach.k, b FROM reach JOIN both_ways ON r = a),
+        class AS (SELECT k, min(r) AS root FROM reach GROUP BY k),
+        links AS (SELECT a AS k, count(*) AS links FROM both_ways GROUP BY a),
+        known AS (SELECT x.line, coalesce(l.links, 0) AS links, y.first AS keep FROM kinds x JOIN class c ON c.k = x.k JOIN kinds y ON y.k = c.root LEFT JOIN links l ON l.k = x.k),
+        judged AS (SELECT a.doc_id, a.line_no, coalesce(n.links, 0) AS links, n.keep, n.keep IS NOT NULL AND n.keep <> ROW(a.doc_id, a.line_no) AS gone FROM lines a LEFT JOIN known n ON a.line = n.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links, coalesce(min(struct_extract(keep, 1)), doc_id) AS class_id,
+            coalesce(string_agg(line_no, ',' ORDER BY line_no) FILTER (WHERE gone), '') AS removed, coalesce(string_agg(struct_extract(keep, 1), ',' ORDER BY line_no) FILTER (WHERE gone), '') AS class_ids
+        FROM judged GROUP BY doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

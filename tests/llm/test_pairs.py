@@ -163,8 +163,8 @@ def test_short_equal_lines_go_in_the_queries(spark, tmp_path):
     rows = [(1, "Les.\n\nAll rights reserved.\nLas."), (2, "x\n Les. \n\nalone"), (3, "All rights reserved."), (4, ""), (5, None), (6, "The anhely eran."), (7, "The, anhely eran.")]
     frame = spark.createDataFrame(rows, DOCS)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_lines, r.removed, r.class_ids) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: (4, [], []), 2: (4, [1], [1]), 3: (1, [0], [1]), 4: (1, [], []), 5: (1, [], []), 6: (1, [], []), 7: (1, [0], [6])}
+    got = {r.doc_id: (r.n_lines, r.removed, r.class_ids, r.class_id) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, "", "", 1), 2: (4, "1", "1", 1), 3: (1, "0", "1", 1), 4: (1, "", "", 4), 5: (1, "", "", 5), 6: (1, "", "", 6), 7: (1, "0", "6", 6)}
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path)).collect()}
     assert kept == {1: rows[0][1], 2: "x\n\nalone", 4: "", 5: None, 6: rows[5][1]}
 

@@ -41,6 +41,29 @@ def test_forward_and_counts_match_plain_recursions():
     assert hidden_markov._add((x.astype("<u2").tobytes() for x in texts), new, symbols)[3] > total - 5
 
 
+def test_training_cuts_lose_little(monkeypatch):
+    """Counts of a long text in segments with context are those of the whole text, but for what reaches beyond the context."""
+    rng = np.random.default_rng(2)
+    k, symbols = 3, 7
+    p = lambda *shape: rng.dirichlet(np.ones(shape[-1]), shape[:-1] or None)
+    model = hidden_markov.Hmm(*(np.ascontiguousarray(x, float) for x in (p(k), 0.3 * np.eye(k) + 0.7 * p(k, k), p(k, symbols).T)))
+    blobs = [rng.integers(0, symbols, n).astype("<u2").tobytes() for n in (700, 3, 64, 65, 200)]
+    whole = hidden_markov._add(iter(blobs), model, symbols)
+    monkeypatch.setattr(hidden_markov, "SEGMENT", 64)
+    cut = hidden_markov._add(iter(blobs), model, symbols)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+    monkeypatch.setattr(hidden_markov, "CONTEXT", 0)
+    assert not np.allclose(hidden_markov._add(iter(blobs), model, symbols)[1], whole[1], rtol=1e-4, atol=1e-4)
+
+
+def test_head_of_words_that_are_all_equally_common(spark):
+    counts = spark.createDataFrame([(f"w{k}", 3) for k in range(500)], "word string, c long")
+    vocab = hidden_markov.vocabulary(counts, 5, 100, 50)
+    assert 50 < len(vocab.counts) <= 120 and len(vocab.symbol) == 50 and vocab.tokens == 1505
+    assert sum(vocab.class_tokens) == 450 * 3 and sum(vocab.class_words) == 450
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(hidden_markov, "HEAD_WORDS", 12)
     rng = random.Random(2)
@@ -152,8 +175,10 @@ def test_leaks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [(k, t) for k, t in items if k is not None]
     want = sorted((d, *brute.leaks(t, named)) for d, t, _ in docs)
-    for size in (decontaminate.BLOCK_BYTES, 60):
+    for size, blocks, held in ((decontaminate.BLOCK_BYTES, 8, 1 << 20), (60, 100, 400), (60, 2, 1), (60, 1, 1 << 20)):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks)
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
         got = decontaminate.find_leaks(frame, bench).collect()
         assert sorted((r.doc_id, r.words, sum(s.last - s.first + 1 for s in r.spans), r["items"]) for r in got) == want
     clean = decontaminate.drop_leaked(frame.withColumnRenamed("note", "items"), bench)
@@ -238,12 +263,18 @@ def test_exact_dedup(spark, monkeypatch):
         want.append((d, None if best[1] else best[2], len(groups[strip(t)]), best == (-len(t or ""), d is None, d or 0), hashlib.sha256(strip(t).encode()).hexdigest()))
     got = exact_dedup.dedup_exact(frame).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got], key=str) == sorted(want, key=str)
+    assert {r.known for r in got} == {True, False}  # the middle of the ids parts the history from the rest
+    for split in (F.lit(True), F.lit(False), F.lit(None).cast("boolean"), F.col("doc_id") % 2 == 0):
+        again = exact_dedup.dedup_exact(frame.withColumn("row", F.lit(1)), split).collect()
+        assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in again], key=str) == sorted(want, key=str)
     past = spark.createDataFrame([(1, "ab"), (2, "new"), (0, "n e w")], DOCS)
-    later = {(r.doc_id, r.text_sha256[:4]): r for r in exact_dedup.dedup_exact(frame, past).collect()}
-    known = [r for r in later.values() if r.known]
-    assert {r.doc_id for r in known} == {3, 5, 9} and all(r.keep_id == 1 and r.group_size == 1 and not r.kept for r in known)
-    assert sum(r.kept for r in later.values() if not r.known) == len({strip(t) for _, t in rows}) - 1
+    new = exact_dedup.unknown_texts(frame, past).collect()
+    assert sorted(str((r.doc_id, r.text_sha256)) for r in new) == sorted(str((d, hashlib.sha256(strip(t).encode()).hexdigest())) for d, t in rows if strip(t) != "ab")
+    assert sum(r.kept for r in new) == len({strip(t) for _, t in rows}) - 1
     assert exact_dedup.dedup_exact(frame.limit(0)).count() == 0
+    twins = [(None, "same")] * 40 + [(None, "x" * 4)] * 3
+    monkeypatch.setattr(exact_dedup.look_up, "__defaults__", (4, False))
+    assert [r.group_size for r in exact_dedup.dedup_exact(spark.createDataFrame(twins, DOCS)).collect()].count(40) == 40
 
 
 @pytest.mark.parametrize(
@@ -298,6 +329,7 @@ def test_pipeline(spark):
     columns = docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     got = corpus_pipeline.run(spark, sf).collect()
-    assert 0 < len(got) <= docs.count() and all(0 < r.taken <= 3 * r["size"] for r in got)
+    assert 0 < len(got) <= docs.count() and all(0 < r.mix_taken <= 3 * r.mix_size for r in got)
+    assert got[0].asDict().keys() > set(columns)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == columns

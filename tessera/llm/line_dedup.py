@@ -33,7 +33,7 @@ THRESHOLD, POINTS_PER_EDIT = 2, 10
 GROUP_ROWS, GROUP_POINTS = 4096, 16 << 20
 #: Code points whose keys are made at once; lines beyond _LONG points are keyed one by one.
 _CHUNK, _LONG = 1 << 19, 1 << 16
-_BATCH = 20_000
+_BATCH, _TEXTS = 20_000, 1000
 _HALF = 1 << 63
 _BASE, _MIX, _SALT = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 _BINS = 16
@@ -264,7 +264,7 @@ def line_links(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, gr
     own = F.array(*[F.struct(F.col(c).alias("segment"), F.lit(k).alias("number")) for k, c in enumerate(_own_columns(threshold))])
     own = lines.select("line", "points", F.explode(own).alias("own")).select("own.segment", "line", "points", "own.number").where("segment IS NOT NULL")
     probes = _probes(docs, threshold, key_filter(own.select("segment"))).distinct().withColumn("number", F.lit(-1))
-    rows = stash(own.unionByName(probes), "segment-rows")
+    rows = stash(own.unionByName(probes), "segment-rows", _TEXTS)
     sizes = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"), F.max("number").alias("any")).where("n > 1 AND any >= 0")
     sizes = sizes.select("segment", F.ceil(F.greatest(F.col("n") / group_rows, F.col("points") / GROUP_POINTS)).cast("int").alias("parts"))
     met = rows.drop("points").join(sizes, "segment")
@@ -386,11 +386,11 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int =
     empty line.  Repeated rows: each line occurs once more, and rows equal in id
     and text share their fate.  Empty table: no rows.
     """
-    rows = stash(line_rows(docs, least, threshold), "lines")
+    rows = stash(line_rows(docs, least, threshold), "lines", _TEXTS)
     first = F.min(F.struct("doc_id", "key", "line_no")).alias("first")
     lines = rows.where("line IS NOT NULL").groupBy("line").agg(first, F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("points", *_own_columns(threshold))])
     lines = stash(lines, "distinct-lines")
-    found = stash(line_links(docs, lines, threshold, group_rows), "line-links")
+    found = stash(line_links(docs, lines, threshold, group_rows), "line-links", _TEXTS)
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     grouped = lines.join(roots, F.col("line") == F.col("node")).select("line", "root", "first")

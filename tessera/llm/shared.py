@@ -44,11 +44,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    batch_rows: rows of a batch that goes to a Python worker, at most, while
+    this table is made; bounds what a worker holds of long rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH_ROWS)
+    if batch_rows is not None:
+        spark.conf.set(_BATCH_ROWS, min(batch_rows, int(rows)) if int(rows) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
         if seen:
             yield flush()
 
-    folded = stash(given.select("y", "part", "text").mapInArrow(fold, "y int, part int, folded string"), "toxic-sample")
+    folded = stash(given.select("y", "part", "text").mapInArrow(fold, "y int, part int, folded string"), "toxic-sample", 1000)
     counts = folded.mapInArrow(count, "unit string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     counts = stash(counts, "toxic-units")
     whole = counts.where("unit = ''").first()

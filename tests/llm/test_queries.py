@@ -173,11 +173,11 @@ def test_toxicity_scores(spark, results):
 
 
 def test_toxicity_finds_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    """On the largest tables here, which hold 120 toxic rows that nothing was learned from."""
+    sf = "/root/testdata/sf0.1"
     rows = QUERIES["op9_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
-    toxic = [r.predicted for r in rows if r.toxic]
-    clean = [r.predicted for r in rows if not r.toxic]
-    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.05
+    found = [r.toxic for r in rows if r.predicted]
+    assert sum(found) / sum(r.toxic for r in rows) > 0.9 and sum(found) / len(found) > 0.9
 
 
 def test_simhash_components(spark):

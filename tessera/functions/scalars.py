@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from tessera import options as O
 
-# The pattern of an OpenGraph image tag, and the texts of a focus mode's summary.
+# The pattern of an OpenGraph image tag, the texts of a focus mode's summary, a cluster's title.
 OG_IMAGE = r"""(?i)<meta[^>]+property=['"]og:image['"][^>]*content=['"]([^'"]+)"""
 
 FOCUS_SUMMARY = ("🎯 {} 專注模式｜", "本層 %d / %d 筆，含子層 %d 筆", "，目前沒有符合的書籤")
 FOCUS_COUNT = "%d 個專注書籤"
+CLUSTER_TITLE = "%s 精選合集"
 
 
 def _empty_to_null(c: Column) -> Column:
@@ -225,8 +226,8 @@ def focus_count(matched: Column) -> Column:
     return F.format_string(FOCUS_COUNT, matched)
 
 
-def cluster_title(prefix: Column, size: Column) -> Column:
-    return F.format_string("%s (%d)", prefix, size)
+def cluster_title(prefix: Column) -> Column:
+    return F.format_string(CLUSTER_TITLE, prefix)
 
 
 def badge(media_type: Column, ext: Column) -> Column:

@@ -713,7 +713,7 @@ def folder_writes(spark, sf_dir):
     return assets.add_folders(edges.where("id LIKE 'r%' OR id LIKE 'n%'"), edges.where("id LIKE 's%' OR id LIKE 'n%'")).select("id", "parent_id", "name")
 
 
-@query(f"WITH {E.ITEMS_SQL} SELECT split_part(name, ' ', 1) || ' (' || count(*) || ')' AS title, count(*) AS size FROM items GROUP BY split_part(name, ' ', 1)")
+@query(f"WITH {E.ITEMS_SQL} SELECT split_part(name, ' ', 1) || ' 精選合集' AS title, concat('📁 ', split_part(name, ' ', 1)) AS folder, count(*) AS size FROM items GROUP BY split_part(name, ' ', 1)")
 def cluster_titles(spark, sf_dir):
     sizes = E.items(spark, sf_dir).groupBy(S.first_word(col("name")).alias("prefix")).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.select(S.cluster_title(col("prefix"), col("size")).alias("title"), "size")
+    return sizes.select(S.cluster_title(col("prefix")).alias("title"), S.folder_title(col("prefix")).alias("folder"), "size")

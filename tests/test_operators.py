@@ -305,6 +305,14 @@ def test_service_calls(spark, service):
         assets.library_path("http://127.0.0.1:9")
 
 
+def test_pages_are_fetched(spark, service):
+    from tessera.sources import web
+
+    rows = spark.createDataFrame([(f"{service}/api/tag/list",), ("http://127.0.0.1:9/x",), (None,), ("file:///etc/hosts",), ("http://",)], "url string")
+    got = {r.url: r.bytes for r in web.fetch(rows, 2).collect()}
+    assert json.loads(bytes(got.pop(f"{service}/api/tag/list")))["data"] == ["x"] and set(got.values()) == {None} and len(got) == 4
+
+
 def test_feature_gate():
     up = {"x": False}
     gate = assets.Availability({"x": lambda: up["x"]}, 0)

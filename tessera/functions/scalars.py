@@ -79,11 +79,14 @@ def source_kind(src: Column) -> Column:
     return F.when(src == "external", "external").otherwise("internal")
 
 
-def human_size(size: Column) -> Column:
-    """Bytes below 1024 whole, else two decimals, half to even, in KB up to PB."""
-    out = F.format_string("%.2f PB", F.bround(size / 1024.0**5, 2))
-    for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(size / 1024.0**power < 1024, F.format_string(f"%.2f {unit}", F.bround(size / 1024.0**power, 2))).otherwise(out)
+def human_size(size: Column, largest: str = "PB") -> Column:
+    """Bytes below 1024 whole, else two decimals, half to even, in KB up to the largest unit, which has no upper bound."""
+    units = ("KB", "MB", "GB", "TB", "PB")
+    units = units[: units.index(largest) + 1]
+    shown = [F.format_string(f"%.2f {unit}", F.bround(size / 1024.0**power, 2)) for power, unit in enumerate(units, 1)]
+    out = shown[-1]
+    for power in range(len(units) - 1, 0, -1):
+        out = F.when(size / 1024.0**power < 1024, shown[power - 1]).otherwise(out)
     return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 

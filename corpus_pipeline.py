@@ -23,7 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near copies; null and empty texts are one group."""
+    """One document stays of each group of near copies; null and empty texts are one group.
+
+    SimHash links through BK-trees in shards, as in op10, and banded signatures for near copies beyond their radius propose; the sets of shingles decide.
+    """
     return drop_near_duplicates(docs)
 
 

@@ -2,8 +2,9 @@
 
 Fingerprints of texts that share four fifths of their five-word shingles differ
 in far more than two or three bits, so fingerprints alone miss most such pairs.
-Here they only propose pairs, next to banded minwise signatures of the same
-shingle hashes; the shingle sets decide.  Texts with the same words collapse
+So the links of the SimHash operator, found by the BK-trees of its shards,
+propose pairs, banded minwise signatures of the same shingle hashes propose
+those beyond its radius, and the shingle sets decide.  Texts with the same words collapse
 first.  A task compares the sets of the pairs it is dealt and reports a spanning
 forest of those that pass; only a passing pair spares others a comparison.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.graph import components
 from tessera.llm.repeats import _held, key_filter, text_key
 from tessera.llm.shared import ascii_words, ship, shipped, stash
-from tessera.llm.simhash import shards, shingle_hashes, simhash
+from tessera.llm.simhash import BROADCAST_NODES, SHARD_LIMIT, Met, probed, shingle_hashes, simhash
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 2
 #: Signature places, and bands of places that propose a pair if they agree on all places of one.
@@ -148,35 +149,13 @@ def _by_group(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[
         yield key, _Group(key[0], rows, key[3] != key[4], radius)
 
 
-def _print_rows(texts: DataFrame, radius: int) -> DataFrame:
-    """texts (words, fingerprint, size), distinct -> place, value, words, size: any two texts with fingerprints within radius share a (place, value)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
-
-        def near() -> list[tuple]:
-            x = np.array(group, np.int64).view(np.uint64)
-            return [(*key, group[k]) for k in range(len(group)) if (np.bitwise_count(x ^ x[k]) <= radius).sum() > 1]
-
-        def rows() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["place", "value", "fingerprint"])
-            out.clear()
-            return done
-
-        for b in batches:
-            for mask, value, print_ in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("mask", "value", "fingerprint"))):
-                if (mask, value) != key:
-                    out += near() if len(group) > 1 else []
-                    key, group = (mask, value), []
-                group.append(print_)
-            if len(out) > 10_000:
-                yield rows()
-        out += near() if len(group) > 1 else []
-        yield rows()
+def _print_rows(texts: DataFrame, radius: int, limit: int = SHARD_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """texts (words, fingerprint, size), distinct -> place, value, words, size: any two texts with fingerprints within radius share a (place, value).
 
+    Place and value are a shard's mask and bits; its BK-tree finds which of its fingerprints are near another.
+    """
     prints = stash(texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "prints")
-    dealt = shards(prints.select("fingerprint"), radius).repartition("mask", "value").sortWithinPartitions("mask", "value")
-    met = dealt.mapInArrow(run, "place long, value long, fingerprint long")
+    met = probed(prints.select("fingerprint"), radius, Met, limit, broadcast_nodes)
     # all bits as the mask: texts with equal fingerprints, whether or not another fingerprint is near
     equal = prints.where("n > 1").select(F.lit(-1).cast("long").alias("place"), F.col("fingerprint").alias("value"), "fingerprint")
     return met.unionByName(equal).join(texts, "fingerprint").select("place", "value", "words", "size")

@@ -194,49 +194,97 @@ def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, i
         yield key, group
 
 
-def links(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """prints (fingerprint), distinct -> edges (a, b) that join all fingerprints linked within radius."""
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Unsigned 64-bit columns as signed ones."""
+    return pa.RecordBatch.from_arrays([pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64)) for k in range(len(names))], names)
+
+
+class Links:
+    """Collects edges (a, b) that join all fingerprints found near each other."""
+
+    names = ["a", "b"]
+
+    def __init__(self) -> None:
+        self.forest = Forest()
+
+    def add(self, shard: tuple[int, int], value: int, near: list[int]) -> None:
+        for other in near:
+            self.forest.join(value, other)
+
+    def size(self) -> int:
+        return len(self.forest.parent)
 
-    def probed(tree: BkTree, values: list[int], forest: Forest) -> None:
-        for value in values:
-            for at in tree.within(value, radius):
-                if tree.values[at] != value:
-                    forest.join(value, tree.values[at])
+    def batch(self) -> pa.RecordBatch:
+        done, self.forest = _longs(self.forest.edges, self.names), Forest()
+        return done
 
-    def edges(forest: Forest) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in forest.edges], np.uint64).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+class Met:
+    """Collects the fingerprints that are near another of their shard, with the shard: (place, value, fingerprint)."""
+
+    names = ["place", "value", "fingerprint"]
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, int]] = []
+
+    def add(self, shard: tuple[int, int], value: int, near: list[int]) -> None:
+        if near:
+            self.rows.append((shard[0] & _ALL, shard[1] & _ALL, value))
+
+    def size(self) -> int:
+        return len(self.rows)
+
+    def batch(self) -> pa.RecordBatch:
+        done, self.rows = _longs(self.rows, self.names), []
+        return done
+
+
+def probed(prints: DataFrame, radius: int, found: type[Links] | type[Met], limit: int = SHARD_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """prints (fingerprint), distinct -> what found collects as each fingerprint probes the BK-trees of its shards for others within radius."""
+    schema = ", ".join(f"{c} long" for c in found.names)
+
+    def probe_one(tree: BkTree, shard: tuple[int, int], value: int, out: Links | Met) -> None:
+        out.add(shard, value, [x for at in tree.within(value, radius) if (x := tree.values[at]) != value])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (mask, value), group in _shards_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array([mask], pa.int64()), pa.array([value], pa.int64()), pa.array([shard_tree(group).packed()], pa.binary())], ["mask", "value", "tree"])
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _shards_of(batches):
-            probed(shard_tree(group), group, forest := Forest())
-            if forest.edges:
-                yield edges(forest)
+        out = found()
+        for shard, group in _shards_of(batches):
+            tree = shard_tree(group)
+            for value in group:
+                probe_one(tree, shard, value, out)
+            if out.size() > 50_000:
+                yield out.batch()
+        yield out.batch()
 
     dealt = stash(shards(prints, radius, limit), "shards")
     by_shard = dealt.repartition("mask", "value").sortWithinPartitions("mask", "value")
     if dealt.count() > broadcast_nodes:
-        return by_shard.mapInArrow(in_place, "a long, b long").distinct()
+        return by_shard.mapInArrow(in_place, schema)
     # broadcast_nodes nodes at most
     built = by_shard.mapInArrow(build, "mask long, value long, tree binary").collect()
     held = ship(prints.sparkSession, {(r.mask, r.value): bytes(r.tree) for r in built})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, forest = shipped(held), Forest()
+        trees, out = shipped(held), found()
         for b in batches:
             for mask, value, print_ in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("mask", "value", "fingerprint"))):
                 if isinstance(tree := trees[mask, value], bytes):
                     tree = trees[mask, value] = BkTree.unpacked(tree)
-                probed(tree, [print_ & _ALL], forest)
-            if len(forest.parent) > 200_000:
-                yield edges(forest)
-                forest = Forest()
-        yield edges(forest)
+                probe_one(tree, (mask, value), print_ & _ALL, out)
+            if out.size() > 200_000:
+                yield out.batch()
+        yield out.batch()
+
+    return dealt.mapInArrow(probe, schema)
+
 
-    return dealt.mapInArrow(probe, "a long, b long").distinct()
+def links(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """prints (fingerprint), distinct -> edges (a, b) that join all fingerprints linked within radius."""
+    return probed(prints, radius, Links, limit, broadcast_nodes).distinct()
 
 
 _ALL = (1 << 64) - 1

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import line_dedup, near_text, repeats
+from tessera.llm import simhash as simhash_module
 from tessera.llm.edit_distance import within
 from tessera.llm.graph import components
 from tessera.llm.simhash import BkTree, links, near_duplicates, shingle_hashes, simhash
@@ -56,6 +57,28 @@ def test_links_connect_what_brute_force_connects(spark, limit, nodes):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize(("limit", "nodes"), [(4, 0), (4, 1 << 20), (1024, 0), (1024, 1 << 20)])
+def test_near_text_proposes_by_bk_trees(spark, monkeypatch, limit, nodes):
+    """Texts with fingerprints within the radius meet in a shard, found by its BK-tree alone."""
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) for _ in range(30)]
+    prints += [p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for p in prints[:10]] + prints[8:12] + [p ^ 7 for p in prints[12:16]]
+    texts = [(bytes([k]), p - (1 << 64) if p >> 63 else p, 1) for k, p in enumerate(prints)]
+    frame = spark.createDataFrame(texts, "words binary, fingerprint long, size int")
+
+    def met():
+        groups = {}
+        for r in near_text._print_rows(frame, 2, limit, nodes).collect():
+            groups.setdefault((r.place, r.value), set()).add(bytes(r.words)[0])
+        return {(a, b) for g in groups.values() for a in g for b in g if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+
+    want = {(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert met() == want
+    monkeypatch.setattr(simhash_module, "shard_tree", lambda values: BkTree())
+    if nodes == 0:
+        assert met() == {(a, b) for a, b in want if prints[a] == prints[b]}
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(3, None), (9, ""), (4, "one two"), (7, "ONE two"), (4, "one two"), (None, "one two"), (5, "x y z w"), (None, "lone words here")]
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
